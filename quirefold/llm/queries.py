@@ -1,8 +1,9 @@
 """Queries of the operators on texts of a training corpus, and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.llm import neardup
+from quirefold.llm import leakage, neardup
 from quirefold.sources.tables import table
 
 
@@ -16,6 +17,41 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand(*_chapter_pairs(spark, d)).select("row_a", "row_b")
 
 
-QUERIES = {"p3_found": p3_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
-SQL: dict[str, str] = {}
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item that leaked: documents that show it, the longest run of its words in one of them."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest_run").alias("longest_run"))
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of items that stand in a document with some words changed: SimHash within the radius, similarity of 0.6 or more."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), radius=7, least_similarity=0.6).select(
+        "doc_id", "item_id", F.round("similarity", 6).alias("similarity")
+    )
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_near": p7_near,
+}
+
+_RUNS_OF_12 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, k, array_to_string(w[k:k+11], ' ') AS s FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+iw AS (SELECT item_id, k, array_to_string(w[k:k+11], ' ') AS s FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+hits AS (SELECT DISTINCT doc_id, item_id, dw.k AS dk, iw.k AS ik FROM dw JOIN iw USING (s))"""
+
+SQL: dict[str, str] = {
+    "p7_found": _RUNS_OF_12 + " SELECT DISTINCT doc_id, item_id FROM hits",
+    "p7_report": _RUNS_OF_12
+    + """, g AS (SELECT *, dk - row_number() OVER (PARTITION BY doc_id, item_id, dk - ik ORDER BY dk) AS grp FROM hits),
+runs AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM g GROUP BY doc_id, item_id, dk - ik, grp)
+SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(n) AS INT) AS longest_run FROM runs GROUP BY item_id""",
+}
