@@ -73,7 +73,8 @@ class _Index:
         for k in range(radius + 1):
             block = self._block(prints, k)
             order = np.argsort(block, kind="stable")
-            self.tables.append((block[order], order))
+            first = np.searchsorted(block[order], np.arange((1 << self.width) + 1, dtype=_U)) if self.width <= 20 else block[order]
+            self.tables.append((first, order))
 
     def _block(self, prints: np.ndarray, k: int) -> np.ndarray:
         return (prints >> _U(k * self.width)) & _U((1 << self.width) - 1)
@@ -83,11 +84,15 @@ class _Index:
         found = []
         for k, (block, order) in enumerate(self.tables):
             own = self._block(prints, k)
-            lo, hi = np.searchsorted(block, own, "left"), np.searchsorted(block, own, "right")
-            n = hi - lo
-            at = np.repeat(np.arange(len(own)), n)
-            if not len(at):
+            if self.width <= 20:
+                lo, hi = block[own.view(np.int64)], block[own.view(np.int64) + 1]
+            else:
+                lo, hi = np.searchsorted(block, own, "left"), np.searchsorted(block, own, "right")
+            some = np.flatnonzero(hi > lo)
+            if not len(some):
                 continue
+            lo, n = lo[some], (hi - lo)[some]
+            at = np.repeat(some, n)
             inside = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             window = order[np.repeat(lo, n) + inside]
             near = np.bitwise_count(prints[at] ^ self.prints[window]) <= self.radius

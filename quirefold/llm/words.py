@@ -11,6 +11,7 @@ import numpy as np
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = re.compile(r"\s+")
+_CHARS = 1 << 16
 _state: dict = {}
 
 
@@ -35,6 +36,13 @@ def _word_char() -> np.ndarray:
     return _state["table"]
 
 
+def _scrambled() -> np.ndarray:
+    """A 64-bit hash of each code point."""
+    if "scrambled" not in _state:
+        _state["scrambled"] = mix(np.arange(1, 0x110001, dtype=_U))
+    return _state["scrambled"]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and their inverses."""
     if len(_state.get("powers", ((), ()))[0]) < n:
@@ -50,6 +58,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
     Texts must already be in lower case.  Equal words have equal hashes everywhere.
     """
+    parts, lo, size = [], 0, 0
+    for k, t in enumerate(texts):  # parts that fit the processor's cache
+        size += len(t)
+        if size > _CHARS or k == len(texts) - 1:
+            value, number, start, end = _hashes_of_part(texts[lo : k + 1])
+            parts.append((value, number + lo, start, end))
+            lo, size = k + 1, 0
+    if not parts:
+        return np.zeros(0, dtype=_U), *[np.zeros(0, dtype=np.int64)] * 3
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _hashes_of_part(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     joined = "\n".join(texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     inside = np.zeros(len(code) + 2, dtype=np.int8)
@@ -63,7 +84,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     up, down = _powers(len(code) + 1)
     running = np.zeros(len(code) + 1, dtype=_U)
     with np.errstate(over="ignore"):
-        np.cumsum(mix(code.astype(_U) + _U(1)) * up[: len(code)], out=running[1:])
+        np.cumsum(_scrambled()[code] * up[: len(code)], out=running[1:])
         value = mix((running[end] - running[start]) * down[start] + (end - start).astype(_U))
     return value, number, start - offsets[number], end - offsets[number]
 
