@@ -3,10 +3,19 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, neardup
+from quirefold.llm import leakage, neardup, residue
 from quirefold.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "chapters")).select("row_id")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of evidence: records that hold it."""
+    return residue.residue(table(spark, d, "chapters")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("records"))
+
+
 def _chapter_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.forest_pairs(
         table(spark, d, "chapters"), "row_id", "paragraphs_json", neardup.read_json_body, threshold=0.5, shingle=3, least=300
@@ -35,6 +44,8 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p7_report": p7_report,
