@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, neardup, residue
+from quirefold.llm import leakage, lookalike, neardup, residue
 from quirefold.sources.tables import table
 
 
@@ -26,6 +26,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand(*_chapter_pairs(spark, d)).select("row_a", "row_b")
 
 
+_CHAPTER_TEXTS = {"title": False, "paragraphs_json": True}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.odd_values(table(spark, d, "chapters"), "row_id", _CHAPTER_TEXTS)
+
+
+def p6_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The plain form of each value that is not in it, and how many mixed-script tokens stay unresolved."""
+    return lookalike.plain_values(table(spark, d, "chapters"), "row_id", _CHAPTER_TEXTS)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -47,6 +59,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_plain": p6_plain,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_near": p7_near,
