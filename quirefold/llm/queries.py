@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, lookalike, neardup, residue
+from quirefold.llm import leakage, lookalike, mojibake, neardup, residue
 from quirefold.sources.tables import table
 
 
@@ -16,6 +16,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "chapters")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "auto_freewebnovel"), "entry_id", ["title", "author", "synopsis"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("entry_id", "field_name")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled values and, where nothing was lost, the text as first written."""
+    return _garbled(spark, d)
+
+
 def _chapter_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.forest_pairs(
         table(spark, d, "chapters"), "row_id", "paragraphs_json", neardup.read_json_body, threshold=0.5, shingle=3, least=300
@@ -58,6 +71,8 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_plain": p6_plain,
