@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices among the lines of records.
 
-1. Every line of every record is normalised (lower case, white space collapsed, digits made alike) and counted per
-   host; only 64-bit keys are counted, with partial sums before the shuffle.
-2. Lines that bear a mark are looked at; a line without any of the plain substrings in ``HINTS`` cannot match a pattern,
-   so the patterns run on few lines.
+1. Every line of every record is normalised (lower case, trimmed, digits made alike) and counted per host; only 64-bit
+   keys are counted, with partial sums before the shuffle, so a line that a third of all records share costs one row
+   per task.
+2. One pass of an Aho-Corasick automaton over each text finds the triggers of ``RULES``; a rule's pattern runs only
+   on lines that hold one of its triggers, so most lines are never matched against a pattern.
 3. A line that recurs on its host is boilerplate.  Boilerplate is subtracted when its evidence is weak, that is, when the
    words could as well be part of a text; strong evidence, which no author writes, counts wherever it stands.
 4. A record with evidence in what is left is reported with the kinds it shows.
@@ -12,136 +13,198 @@ Null, unreadable, empty and blank texts hold no evidence.  Repeated rows are jud
 named ones are ignored, so extra columns cannot clash.  Texts are read whole.
 """
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ID = r"[A-Za-z_][\w.\[\]]*"
 _CAPS = r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*"
 _UNSET = r"(?:undefined|NaN|null|None|nil|NULL)"
-#: The begin and end of a sentence or line.
+#: Before the first word of a sentence or line.
 _B = r"(?:^|(?<=[.!?…:\"”’)\]>]\s))"
-_E = r"(?=\s*$|[.!?…]|\s+[\"“‘'<(\[{]?[A-Z0-9%$#@_:{<])"
-
-#: Marks of template languages and values that were never set.  Case matters.
-TEMPLATE = "|".join(
-    [
-        r"\{\{\{?\s*[^{}\s][^{}]*\}\}",
-        rf"[$#]\{{\s*{_ID}[^{{}}]*\}}",
-        r"<%[=#\-]?\s*[^%>]+%>",
-        r"\{%-?\s*[^%{}]+%\}",
-        rf"<!--\s*{_ID}\s*-->",
-        rf"%%{_CAPS}%%|@@{_CAPS}@@|(?<![A-Za-z0-9_])__{_CAPS}__(?![A-Za-z0-9_])|\[\[{_CAPS}\]\]",
-        r"%%[a-z_.]+%%|@@[a-z_.]+@@|(?<![A-Za-z0-9_])__[a-z]+(?:_[a-z]+)*__(?![A-Za-z0-9_])",
-        r"\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\]",
-        r"\[(?:BODY|CONTENT|EXCERPT|PARAGRAPH|TITLE|TEXT|NAME|AUTHOR|CHAPTER|SUMMARY|LINK|DATE)\]",
-        rf"\{{{_ID}\s*\|[^{{}}]*\}}",
-        r"\{[a-z_]\w*(?:[._\[][\w.\[\]]*)+\}|\{\d+\}",
-        r"\{(?:body|content|excerpt|paragraph|title|text|name|author|chapter|summary|link|date)\}",
-        r"(?<![\w%])%(?:s|d|\(\w+\)[sd])(?!\w)",
-        r"(?<!\w)\$[a-z]+(?:_[a-z]+)*\$(?!\w)",
-        r"(?<![\w:]):(?:body|content|excerpt|paragraph|title|text|author|chapter|summary|[a-z]\w*(?:[._\[][\w.\[\]]*)+):(?![\w:])",
-        r"\[object [A-Z]\w*\]",
-        rf"{_B}{_UNSET}(?:[\s,;]+{_UNSET})*(?=\s*$|\s+[\"“A-Z%$#@_\[{{<])",
-        rf"\b(?:Dear|Hello|Hi|Previous:|Next:|Chapter|Volume|part|by) {_UNSET}\b(?=[.,:!?]|\s*$)",
-        r"\bNaN\b|(?<=\w )undefined(?=[.,!?]|\s*$)",
-    ]
-)
-
-#: Filler and notes to the person who was to fill in the text.
-FILLER = "|".join(
-    [
-        r"\blorem ipsum (?:dolor|sit|amet|\w+ (?:dolor|sit|amet))\b",
-        r"(?:\b(?:lorem|ipsum|dolor|sit|amet|nulla|vitae|corpus|quorum|consectetur|adipiscing|elit|tempor|orbis|aptum|gravum|nexio|velun|castrum|miroque|tarquis|finitor|abitus|eliphe|mendor|santor|brevum|trinor|ventus|debris|pellen)\b\W+){4}",
-        r"\bblindtext\b|\btexto de (?:ejemplo|relleno|exemplo)\b|\btexte? (?:factice|de remplissage)\b|\bteks contoh\b",
+_NAMES = "body content excerpt paragraph title text name author chapter summary link date".split()
+_NAME = "(?:" + "|".join(_NAMES) + ")"
+_STATUS = "not found|forbidden|unauthorized|access denied|bad request|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|unknown origin error|method not allowed|request time-?out|gone"
+_STATUS_TRIGGERS = "not found|forbidden|unauthorized|access denied|bad request|bad gateway|gateway time|internal server error|unavailable|too many requests|unknown origin|not allowed|request time|gone".split("|")
+_PSEUDO_LATIN = "lorem ipsum dolor sit amet nulla vitae corpus quorum consectetur adipiscing elit tempor orbis aptum gravum nexio velun castrum miroque tarquis finitor abitus eliphe mendor santor brevum trinor ventus debris pellen".split()
+
+#: Kinds of evidence: template marks and values never set, filler, error and access pages, notices that scripts are needed.
+TEMPLATE, FILLER, ERROR_PAGE, SCRIPT_NOTICE = "template", "filler", "error_page", "script_notice"
+STRONG, WEAK = False, True
+
+#: (kind, weak, triggers in lower case, pattern).  Patterns of template marks see the line as it is, all others in lower case.
+RULES: list[tuple[str, bool, list[str], str]] = [
+    (TEMPLATE, STRONG, ["{{"], r"\{\{\{?\s*[^{}\s][^{}]*\}\}"),
+    (TEMPLATE, STRONG, ["${", "#{"], rf"[$#]\{{\s*{_ID}[^{{}}]*\}}"),
+    (TEMPLATE, STRONG, ["<%"], r"<%[=#\-]?\s*[^%>]+%>"),
+    (TEMPLATE, STRONG, ["{%"], r"\{%-?\s*[^%{}]+%\}"),
+    (TEMPLATE, STRONG, ["<!--"], rf"<!--\s*{_ID}\s*-->"),
+    (TEMPLATE, STRONG, ["%%"], rf"%%(?:{_CAPS}|[a-z_.]+)%%"),
+    (TEMPLATE, STRONG, ["@@"], rf"@@(?:{_CAPS}|[a-z_.]+)@@"),
+    (TEMPLATE, STRONG, ["__"], rf"(?<![A-Za-z0-9_])__(?:{_CAPS}|[a-z]+(?:_[a-z]+)*)__(?![A-Za-z0-9_])"),
+    (TEMPLATE, STRONG, ["[["], rf"\[\[{_CAPS}\]\]"),
+    (TEMPLATE, STRONG, ["_"], r"\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\]"),
+    (TEMPLATE, STRONG, [f"[{x}]" for x in _NAMES], rf"\[{_NAME.upper()}\]"),
+    (TEMPLATE, STRONG, ["|"], rf"\{{{_ID}\s*\|[^{{}}]*\}}"),
+    (TEMPLATE, STRONG, ["{"], rf"\{{(?:[a-z_]\w*(?:[._\[][\w.\[\]]*)+|\d+|{_NAME})\}}"),
+    (TEMPLATE, STRONG, ["%s", "%d", "%("], r"(?<![\w%])%(?:s|d|\(\w+\)[sd])(?!\w)"),
+    (TEMPLATE, STRONG, ["$"], r"(?<!\w)\$[a-z]+(?:_[a-z]+)*\$(?!\w)"),
+    (TEMPLATE, STRONG, [":"], rf"(?<![\w:]):(?:{_NAME}|[a-z]\w*(?:[._\[][\w.\[\]]*)+):(?![\w:])"),
+    (TEMPLATE, STRONG, ["[object "], r"\[object [A-Z]\w*\]"),
+    (TEMPLATE, STRONG, ["undefined", "nan", "null", "none", "nil"], rf"{_B}{_UNSET}(?:[\s,;]+{_UNSET})+(?=\s*$|\s+[\"“A-Z%$#@_\[{{<])"),
+    (TEMPLATE, STRONG, ["undefined", "nan", "null", "none", "nil"], rf"{_B}{_UNSET}(?=\s*$|\s+[\"“A-Z%$#@_\[{{<])"),
+    (TEMPLATE, STRONG, ["undefined", "null", "none", "nil"], rf"\b(?:Dear|Hello|Hi|Previous:|Next:|Chapter|Volume|part|by) {_UNSET}\b(?=[.,:!?]|\s*$)"),
+    (TEMPLATE, STRONG, ["nan", "undefined"], r"\bNaN\b|(?<=\w )undefined(?=[.,!?]|\s*$)"),
+    (FILLER, STRONG, ["lorem ipsum"], r"\blorem ipsum (?:dolor|sit|amet|\w+ (?:dolor|sit|amet))\b"),
+    (FILLER, STRONG, _PSEUDO_LATIN[1:], r"(?:\b(?:" + "|".join(_PSEUDO_LATIN) + r")\b\W+){4}"),
+    (FILLER, STRONG, ["blindtext", "texto de", "texte", "teks contoh"], r"\bblindtext\b|\btexto de (?:ejemplo|relleno|exemplo)\b|\btexte? (?:factice|de remplissage)\b|\bteks contoh\b"),
+    (
+        FILLER,
+        STRONG,
+        ["dummy", "placeholder", "sample", "filler", "test text", "test paragraph"],
         r"\b(?:dummy|placeholder|sample|filler|test) (?:text|paragraph|content)\b[^.!?]{0,60}\b(?:layout|replace|here|until|page|used)\b|\bsample paragraph\b",
-        r"\breplace (?:it|this|me) with your own\b|\bonly here to fill the page\b|\bhere to fill the (?:page|space)\b",
-        r"\[insert [^\]]{2,60}\]|<(?:paste|insert) [^>]{2,60}>|\((?:chapter|text|body|content)[^()]{0,30}\bgoes here\)",
-        r"\btodo: ?(?:add|write|fill|insert|replace|translate)|\bxxx (?:fill|fix|add|todo)\b|--+ ?text to follow ?--+|\btext to follow\b\s*$|\bfill in before release\b",
-        r"\btest test\b|\bblah blah\b|\basdf\b|\bqwer(?:ty)?\b|\bjkl\b|\bxxxx+\b|(?:\b([a-z])\1{3,}\b\W*){2,}",
-        r"\bloading (?:the )?(?:chapter|content|page|text|story|next)\b|" + r"^\s*loading ?(?:\.\.\.|…)|(?<=[.!?\"”] )loading ?(?:\.\.\.|…)",
-        r"\bplease wait while (?:the )?(?:chapter|page|content|text|book|story|site|reader) (?:is |are )?(?:load|being)",
-        r"\b(?:chapter|page)? ?content is being (?:fetched|loaded|prepared)\b|\bcargando (?:el|la|los) \w+|\bchargement (?:du|de|en)\b|\bcarregando\b|\bwird geladen\b|\bsedang (?:memuat|dimuat)\b|\bmemuat (?:bab|halaman)\b",
-    ]
-)
-
-#: Pages of errors and refused access.
-ERROR_PAGE = "|".join(
-    [
-        r"(?:^|[\s>])[45]\d\d (?:not found|gone|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|unknown origin error|method not allowed|request time-?out|web server[^.]{0,30}|connection timed out|moved permanently)",
-        r"<(?:h\d|title|center|b)>\s*(?:\d{3} )?(?:not found|forbidden|bad gateway|gateway time-?out|internal server error|service unavailable|too many requests|unknown origin error|gone|unauthorized|access denied|error)",
-        r"(?:^|(?<=[.!?\"”>] ))error (?:code:? ?)?[45]\d\d(?=\s*$|[.:]|\s+[\"“a-z<])",
-        r"^\s*access denied(?=\s*$|[.!]|\s+your )|(?<=[.!?\"”] )access denied(?=\s*$|[.!]\s|\s+(?:your|you) )",
-        r"^\s*(?:\d{3} )?(?:page )?(?:not found|forbidden|bad gateway|gateway time-?out|internal server error|service unavailable|too many requests|unknown origin error|gone)\s*[.!]?\s*$",
-        r"\byour (?:ip )?address has been (?:blocked|banned)\b|\byou (?:do not|don't) have permission to (?:access|view)\b",
+    ),
+    (FILLER, STRONG, ["your own words", "fill the "], r"\breplace (?:it|this|me) with your own words\b|\bhere to fill the (?:page|space)\b"),
+    (FILLER, STRONG, ["[insert", "<paste", "<insert", "goes here)"], r"\[insert [^\]]{2,60}\]|<(?:paste|insert) [^>]{2,60}>|\((?:chapter|text|body|content)[^()]{0,30}\bgoes here\)"),
+    (FILLER, STRONG, ["todo", "xxx", "to follow", "before release"], r"\btodo: ?(?:add|write|fill|insert|replace|translate)|\bxxx (?:fill|fix|add|todo)\b|-- ?text to follow\b|\btext to follow\b\W*$|\bfill in before release\b"),
+    (FILLER, STRONG, ["test test", "blah blah", "asdf", "qwer", "jkl", "xxxx"], r"\btest test\b|\bblah blah\b|\basdf\b|\bqwer(?:ty)?\b|\bjkl\b|\bxxxx+\b"),
+    (FILLER, STRONG, ["aaaa", "bbbb", "cccc", "dddd", "eeee"], r"(?:\b([a-z])\1{3,}\b\W*){2,}"),
+    (FILLER, STRONG, ["loading"], r"\bloading (?:the )?(?:chapter|content|page|text|story|next)\b|(?:^\s*|(?<=[.!?\"”] ))loading ?(?:\.\.\.|…)"),
+    (FILLER, STRONG, ["please wait while"], r"\bplease wait while (?:the )?(?:chapter|page|content|text|book|story|site|reader) (?:is |are )?(?:load|being)"),
+    (FILLER, STRONG, ["being fetched", "being loaded", "being prepared"], r"\bcontent is being (?:fetched|loaded|prepared)\b"),
+    (
+        FILLER,
+        STRONG,
+        ["cargando", "chargement", "carregando", "geladen", "memuat", "dimuat"],
+        r"\bcargando (?:el|la|los) \w+|\bchargement (?:du|de|en)\b|\bcarregando\b|\bwird geladen\b|\bsedang (?:memuat|dimuat)\b|\bmemuat (?:bab|halaman)\b",
+    ),
+    (FILLER, WEAK, ["loading", "please wait"], r"^\s*(?:loading|please wait)\s*[.!…]*\s*$"),
+    (ERROR_PAGE, STRONG, _STATUS_TRIGGERS, rf"(?:^|[\s>])[45]\d\d (?:{_STATUS})"),
+    (ERROR_PAGE, STRONG, _STATUS_TRIGGERS + ["error"], rf"<(?:h\d|title|center|b)>\s*(?:\d{{3}} )?(?:{_STATUS}|error)"),
+    (ERROR_PAGE, STRONG, ["error 4", "error 5", "error code"], r"(?:^|(?<=[.!?\"”>] ))error (?:code:? ?)?[45]\d\d(?=\s*$|[.:]|\s+[\"“a-z<])"),
+    (ERROR_PAGE, STRONG, ["access denied"], r"^\s*access denied(?=\s*$|[.!]|\s+your )|(?<=[.!?\"”] )access denied(?=\s*$|[.!]\s|\s+(?:your|you) )"),
+    (ERROR_PAGE, STRONG, [x for x in _STATUS_TRIGGERS if x != "gone"], rf"^\s*(?:page )?(?:{_STATUS.replace('|gone', '')})\s*[.!]?\s*$"),
+    (ERROR_PAGE, WEAK, ["gone", "error"], r"^\s*(?:gone|error)\s*[.!]?\s*$"),
+    (ERROR_PAGE, STRONG, ["address has been", "permission to"], r"\byour (?:ip )?address has been (?:blocked|banned)\b|\byou (?:do not|don't) have permission to (?:access|view)\b"),
+    (
+        ERROR_PAGE,
+        STRONG,
+        ["went wrong", "could not find that", "been taken down", "been removed", "been deleted"],
         r"\bsomething went wrong on our (?:side|end)\b|\bwe could not find that (?:chapter|page)\b|\bmay have (?:been )?moved or been (?:taken down|removed|deleted)\b",
-        r"\bcould not connect to the database\b|\bcontact the administrator of this\b|\b(?:site|server|page) is down for maintenance\b",
-        r"\byou are sending too many requests\b|\bslow down and reload\b|\brequested (?:address|url|page)[^.]{0,20} was not (?:served|found)\b",
-        r"\btraceback\b[^.]{0,40}\bline \d+|\b(?:key|type|value|attribute|reference|syntax|runtime)error '|\bcaught exception\b|\bstack trace:",
-        r"\bp[aá]gina no encontrada\b|\bhalaman tidak ditemukan\b|\bseite nicht gefunden\b|\bcette page n['’]existe\b|\bpage introuvable\b|\bp[aá]gina n[aã]o encontrada\b|\berro interno do servidor\b|\berror interno del servidor\b|\berreur interne du serveur\b|\binterner serverfehler\b|\bkesalahan server\b",
-        r"\bchecking your (?:browser|device|web view|reader app|connection|network|client)\b[^.]{0,30} before\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bcomplete the captcha\b",
-        r"(?:^|(?<=[.!?>] ))request id:? [0-9a-f]{8,}|(?:^|(?<=[.!?>] ))ref: [0-9a-f]{8,}\b|\btry again in \d+ seconds\b",
-        r"\bacceso denegado\b|\bzugriff verweigert\b|\bacc[eè]s refus[eé]\b|\bacesso negado\b|\bakses ditolak\b",
-    ]
-)
-
-#: Notices that scripts or the like are needed.
-SCRIPT_NOTICE = "|".join(
-    [
-        r"\b(?:enable|allow|turn on|activate) (?:java ?scripts?|cookies|scripts)\b(?! (?:that|which|who))",
-        r"\bjava ?script is (?:disabled|off|turned off|required|not enabled)\b|\bjava ?script (?:must|needs to) be\b",
-        r"\b(?:needs|requires) (?:java ?script|scripts|cookies)\b|\bturn them on in your\b",
-        r"\bdoes not (?:run|support|allow) (?:the |java)?scripts?\b",
-        r"<noscript>|\bscripts and cookies must be\b",
-        r"\b(?:noticed|detected) an? ad ?-?blocker\b|\bad ?-?blocker (?:detected|is on)\b|\bswitch it off, allow scripts\b|\ballow scripts, then\b|\bcannot be shown without it\b",
-        r"\bbitte aktiviere?n?(?: sie)? java ?script|\bveuillez activer java ?script|\bactiv[ae] (?:o )?java ?script|\bative (?:o )?java ?script|\baktifkan java ?script|\bhabilit[ae] (?:o |el )?java ?script|\bwłącz javascript|\bвключите javascript|\bjava ?scriptを有効",
-    ]
-)
-
-#: Evidence whose words could also be an author's: it does not count in a line that recurs on its host.
-WEAK = "|".join(
-    [
-        r"^\s*(?:loading|please wait|none|null|gone|error|forbidden|not found)\s*[.!…]*\s*$",
-    ]
-)
-
-#: A line that matches a pattern above holds at least one of these, in lower case.
-HINTS = (
-    ["{", "}", ":", "<%", "<!--", "%%", "@@", "__", "[[", "_", "%s", "%d", "%(", "$", "[", "<", "undefined", "nan", "null", "none", "nil"]
-    + ["ipsum", "dolor", "amet", "nulla", "vitae", "corpus", "aptum", "gravum", "pellen", "miroque", "castrum", "blindtext", "texto", "texte", "teks"]
-    + ["dummy", "placeholder", "sample", "filler", "fill", "goes here", "todo", "xxx", "text to follow", "test", "blah", "asdf", "qwer", "jkl", "aaaa"]
-    + ["loading", "please wait", "fetched", "being", "cargando", "chargement", "carregando", "geladen", "memuat", "dimuat", "replace"]
-    + ["error", "found", "gone", "forbidden", "denied", "denegado", "verweigert", "refus", "negado", "ditolak", "unauthorized", "gateway", "unavailable"]
-    + ["requests", "blocked", "permission", "wrong", "moved", "database", "administrator", "maintenance", "requested", "traceback", "exception", "stack"]
-    + ["encontrada", "ditemukan", "nicht gefunden", "existe", "introuvable", "serveur", "servidor", "checking your", "human", "captcha", "request id", "ref: ", "try again"]
-    + ["script", "cookies", "turn them on", "blocker", "without it", "request time", "timed out"]
-)
-
-
-def _normal(line: Column) -> Column:
-    return F.translate(F.lower(F.trim(line)), "0123456789", "0000000000")
-
-
-def lines_of(chapters: DataFrame, identity: str, host: str, text: str) -> DataFrame:
-    """(row, host, line): the lines of JSON arrays of strings; a paragraph of several lines gives several."""
-    return (
-        chapters.select(F.col(identity).alias("row"), F.col(host).alias("host"), F.from_json(F.col(text), "array<string>").alias("parts"))
-        .select("row", "host", F.explode("parts").alias("part"))
-        .select("row", "host", F.explode(F.split("part", r"[\r\n]+")).alias("line"))
-        .where(F.length(F.trim("line")) > 0)
+    ),
+    (ERROR_PAGE, STRONG, ["database", "administrator", "maintenance"], r"\bcould not connect to the database\b|\bcontact the administrator of this\b|\b(?:site|server|page) is down for maintenance\b"),
+    (ERROR_PAGE, STRONG, ["too many requests", "and reload", "requested "], r"\byou are sending too many requests\b|\bslow down and reload\b|\brequested (?:address|url|page)[^.]{0,20} was not (?:served|found)\b"),
+    (ERROR_PAGE, STRONG, ["traceback", "error '", "exception", "stack trace"], r"\btraceback\b[^.]{0,40}\bline \d+|\b(?:key|type|value|attribute|reference|syntax|runtime)error '|\buncaught exception\b|\bstack trace:"),
+    (
+        ERROR_PAGE,
+        STRONG,
+        ["encontrada", "ditemukan", "nicht gefunden", "cette page", "introuvable", "servidor", "serveur", "serverfehler", "kesalahan"],
+        r"\bp[aá]gina no encontrada\b|\bhalaman tidak ditemukan\b|\bseite nicht gefunden\b|\bcette page n['’]existe\b|\bpage introuvable\b|\bp[aá]gina n[aã]o encontrada\b|\berror? interno d[oe]l? servidor\b|\berreur interne du serveur\b|\binterner serverfehler\b|\bkesalahan server\b",
+    ),
+    (ERROR_PAGE, STRONG, ["checking your", "human", "captcha"], r"\bchecking your [\w ]{3,20} before\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bcomplete the captcha\b"),
+    (ERROR_PAGE, STRONG, ["request id", "ref: ", "try again in"], r"(?:^|(?<=[.!?>] ))request id:? [0-9a-f]{8,}|(?:^|(?<=[.!?>] ))ref: [0-9a-f]{8,}\b|\btry again in \d+ seconds\b"),
+    (ERROR_PAGE, STRONG, ["denegado", "verweigert", "refus", "negado", "ditolak"], r"\bacceso denegado\b|\bzugriff verweigert\b|\bacc[eè]s refus[eé]\b|\bacesso negado\b|\bakses ditolak\b"),
+    (SCRIPT_NOTICE, STRONG, ["script", "cookies"], r"\b(?:enable|allow|turn on|activate) (?:java ?scripts?|cookies|scripts)\b(?! (?:that|which|who))"),
+    (SCRIPT_NOTICE, STRONG, ["script"], r"\bjava ?script is (?:disabled|off|turned off|required|not enabled)\b|\bjava ?script (?:must|needs to) be\b"),
+    (SCRIPT_NOTICE, STRONG, ["script", "cookies", "turn them on"], r"\b(?:needs|requires) (?:java ?script|scripts|cookies)\b|\bturn them on in your\b"),
+    (SCRIPT_NOTICE, STRONG, ["script"], r"\bdoes not (?:run|support|allow) (?:the |java)?scripts?\b|<noscript>|\bscripts and cookies must be\b"),
+    (SCRIPT_NOTICE, STRONG, ["blocker", "allow scripts", "without it"], r"\b(?:noticed|detected) an? ad ?-?blocker\b|\bad ?-?blocker (?:detected|is on)\b|\bswitch it off, allow scripts\b|\bcannot be shown without it\b"),
+    (
+        SCRIPT_NOTICE,
+        STRONG,
+        ["javascript", "java script"],
+        r"\bbitte aktiviere?n?(?: sie)? java ?script|\bveuillez activer java ?script|\bactiv[ae] (?:o )?java ?script|\bative (?:o )?java ?script|\baktifkan java ?script|\bhabilit[ae] (?:o |el )?java ?script|\bwłącz javascript|\bвключите javascript|\bjavascriptを有効",
+    ),
+]
+
+
+class Judge:
+    """The rules, ready to be used on a worker."""
+
+    def __init__(self) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        rules: dict[str, list[int]] = {}
+        for n, (_, _, triggers, _) in enumerate(RULES):
+            for t in triggers:
+                rules.setdefault(t, []).append(n)
+        for t, own in rules.items():
+            self.automaton.add_word(t, tuple(own))
+        self.automaton.make_automaton()
+        self.patterns = [re.compile(p) for _, _, _, p in RULES]
+
+    def line(self, line: str) -> list[tuple[str, bool]]:
+        """(kind, weak) of each kind of evidence in a line; a kind is weak if all its evidence is."""
+        low = line.lower()
+        triggered: set[int] = set()
+        for _, own in self.automaton.iter(low):
+            triggered.update(own)
+        found: dict[str, bool] = {}
+        for n in triggered:
+            kind, weak = RULES[n][:2]
+            if found.get(kind, True) and self.patterns[n].search(line if kind == TEMPLATE else low):
+                found[kind] = found.get(kind, True) and weak
+        return sorted(found.items())
+
+    def marked(self, texts: list[str]) -> bool:
+        """Whether any trigger stands in any of the texts."""
+        return next(self.automaton.iter("\n".join(texts).lower()), None) is not None
+
+
+def split_lines(value: str | None) -> list[str]:
+    """The lines of a JSON array of strings; unreadable values have none."""
+    try:
+        parts = json.loads(value) if value else None
+    except ValueError:
+        parts = None
+    if not isinstance(parts, list):
+        return []
+    return [x for p in parts if isinstance(p, str) for x in re.split(r"[\r\n]+", p) if x.strip()]
+
+
+def normal(line: str) -> str:
+    """The form in which lines are counted."""
+    return line.strip().lower().translate(_DIGITS)
+
+
+_DIGITS = str.maketrans("123456789", "000000000")
+
+
+def _evidence() -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge()
+        for batch in batches:
+            out = []
+            for row, host, value in zip(batch["row"], batch["host"], batch["text"]):
+                lines = split_lines(value)
+                if not judge.marked(lines):
+                    continue
+                for line in lines:
+                    for kind, weak in judge.line(line):
+                        out.append((row, host, normal(line), kind, weak))
+            yield pd.DataFrame(out, columns=["row", "host", "line", "kind", "weak"])
+
+    return run
+
+
+def line_counts(chapters: DataFrame, host: str, text: str, recurrent: int) -> DataFrame:
+    """(key, times) of normalised lines that stand at least ``recurrent`` times on one host."""
+    lines = (
+        chapters.select(F.col(host).alias("host"), F.explode(F.from_json(text, "array<string>")).alias("part"))
+        .select("host", F.explode(F.split("part", r"[\r\n]+")).alias("line"))
+        .where(F.trim("line") != "")
     )
+    plain = F.translate(F.lower(F.trim("line")), "123456789", "000000000")
+    return lines.groupBy(_key(F.col("host"), plain).alias("key")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= recurrent)
 
 
-def evidence(line: Column) -> Column:
-    """The kinds of evidence in a line, an array of template, filler, error_page and script_notice."""
-    low = F.lower(line)
-    return F.array_compact(
-        F.array(
-            F.when(line.rlike(TEMPLATE), F.lit("template")),
-            F.when(low.rlike(FILLER), F.lit("filler")),
-            F.when(low.rlike(ERROR_PAGE), F.lit("error_page")),
-            F.when(low.rlike(SCRIPT_NOTICE), F.lit("script_notice")),
-        )
-    )
+def _key(host: Column, line: Column) -> Column:
+    return F.xxhash64(host, line)
 
 
 def residue(
@@ -151,28 +214,18 @@ def residue(
 
     A line that stands at least ``recurrent`` times on one host is boilerplate there.
     """
-    lines = lines_of(chapters, identity, host, text).withColumn("key", F.xxhash64("host", _normal(F.col("line"))))
-    counts = lines.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= recurrent)
-    low = F.lower("line")
-    hinted = lines.where(_any(low, HINTS))
-    marked = hinted.withColumn("kinds", evidence(F.col("line"))).where(F.size("kinds") > 0)
-    marked = marked.select("row", "key", "kinds", low.rlike(WEAK).alias("weak"))
-    judged = marked.join(counts, "key", "left")
+    rows = chapters.select(F.col(identity).cast("long").alias("row"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
+    marked = rows.where("text IS NOT NULL").mapInPandas(_evidence(), "row long, host string, line string, kind string, weak boolean")
+    counts = line_counts(chapters, host, text, recurrent)
+    judged = marked.withColumn("key", _key(F.col("host"), F.col("line"))).join(counts, "key", "left")
     boilerplate = F.col("weak") & F.col("times").isNotNull()
     return (
         judged.groupBy("row")
         .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(~boilerplate, F.col("kinds")))))).alias("kinds"),
+            F.array_sort(F.collect_set(F.when(~boilerplate, F.col("kind")))).alias("kinds"),
             F.count_if(~boilerplate).alias("evidence_lines"),
             F.count_if(boilerplate).alias("boilerplate_lines"),
         )
         .where("evidence_lines > 0")
         .withColumnRenamed("row", identity)
     )
-
-
-def _any(value: Column, parts: list[str]) -> Column:
-    found = value.contains(parts[0])
-    for p in parts[1:]:
-        found = found | value.contains(p)
-    return found
