@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, lookalike, mojibake, neardup, residue
+from quirefold.llm import leakage, lookalike, mojibake, neardup, residue, subjects
 from quirefold.sources.tables import table
 
 
@@ -68,6 +68,20 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters of each subject; a document of two subjects counts for both."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
+    return _subjects(spark, d).join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -79,6 +93,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_near": p7_near,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _RUNS_OF_12 = """
