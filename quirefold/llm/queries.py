@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, lookalike, mojibake, neardup, residue, subjects
+from quirefold.llm import leakage, lookalike, mixing, mojibake, neardup, packing, residue, subjects
 from quirefold.sources.tables import table
 
 
@@ -39,6 +39,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand(*_chapter_pairs(spark, d)).select("row_a", "row_b")
 
 
+def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The block of each stored body of a routed novel."""
+    return packing.block_bodies(table(spark, d, "chapters"), table(spark, d, "novel_shards"), table(spark, d, "shards"))
+
+
+def p5_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Per database: blocks, bytes stored, bytes left, and the fewest blocks that could hold them."""
+    blocks = p5_blocks(spark, d).groupBy("database_id", "block_id", "block_bytes").agg(F.sum("piece_bytes").alias("bytes"))
+    return (
+        blocks.groupBy("database_id")
+        .agg(F.count(F.lit(1)).alias("blocks"), F.sum("bytes").alias("bytes"), F.sum(F.col("block_bytes") - F.col("bytes")).alias("unused_bytes"), F.max("block_bytes").alias("block_bytes"))
+        .withColumn("least_blocks", F.ceil(F.col("bytes") / F.col("block_bytes")))
+    )
+
+
+def p5_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """Per database: rows and bytes that its blocks hold, rows cut because they are longer than a block."""
+    rows = p5_blocks(spark, d).groupBy("database_id", "row_id").agg(F.sum("piece_bytes").alias("bytes"), F.count(F.lit(1)).alias("pieces"))
+    return rows.groupBy("database_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("bytes").alias("bytes"), F.count_if(F.col("pieces") > 1).alias("cut_rows"))
+
+
 _CHAPTER_TEXTS = {"title": False, "paragraphs_json": True}
 
 
@@ -68,6 +89,16 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents, how often each is used, and its tokens."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each listed source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.assign(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
 
@@ -88,11 +119,16 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
+    "p5_blocks": p5_blocks,
+    "p5_unused": p5_unused,
+    "p5_accounting": p5_accounting,
     "p6_found": p6_found,
     "p6_plain": p6_plain,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_near": p7_near,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
@@ -105,6 +141,13 @@ iw AS (SELECT item_id, k, array_to_string(w[k:k+11], ' ') AS s FROM i, unnest(ra
 hits AS (SELECT DISTINCT doc_id, item_id, dw.k AS dk, iw.k AS ik FROM dw JOIN iw USING (s))"""
 
 SQL: dict[str, str] = {
+    "p5_accounting": """
+WITH newest AS (SELECT novel_id, database_id, row_number() OVER (PARTITION BY novel_id
+    ORDER BY assigned_at IS NOT NULL DESC, assigned_at DESC, route_id DESC) AS r FROM novel_shards WHERE novel_id IS NOT NULL)
+SELECT database_id, count(*) AS n_rows, CAST(sum(strlen(paragraphs_json)) AS BIGINT) AS bytes,
+  count(*) FILTER (WHERE strlen(paragraphs_json) > block_bytes) AS cut_rows
+FROM chapters JOIN newest USING (novel_id) JOIN shards USING (database_id)
+WHERE r = 1 AND paragraphs_json IS NOT NULL GROUP BY database_id""",
     "p7_found": _RUNS_OF_12 + " SELECT DISTINCT doc_id, item_id FROM hits",
     "p7_report": _RUNS_OF_12
     + """, g AS (SELECT *, dk - row_number() OVER (PARTITION BY doc_id, item_id, dk - ik ORDER BY dk) AS grp FROM hits),
