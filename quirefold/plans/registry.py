@@ -1,8 +1,8 @@
 """All core queries and their SQL."""
 
-from quirefold.plans import skew
+from quirefold.plans import catalog, corpus, skew
 
-MODULES = (skew,)
+MODULES = (corpus, catalog, skew)
 
 
 def core_queries() -> dict:
