@@ -77,19 +77,20 @@ def _paragraphs(node: _Node) -> list[str]:
 
 
 def main_paragraphs(html: str, weight: int = 2, least: int = 300) -> list[str]:
-    """Paragraphs of the block that scores best: ``weight`` times the characters of its paragraphs, plus those of its text.
+    """Paragraphs of the main block: the smallest with at least nine tenths of the best score.
 
-    Without a block of at least ``least`` characters the lines of the whole text are given.
+    A block scores ``weight`` times the characters of its paragraphs, plus those of its text; blocks of less than ``least``
+    characters do not count.  Without any block the whole text is one paragraph.
     """
     tree = _tree(html)
-    best, score = None, -1
+    scored = []
     for block in tree.blocks:
         text = block.words()
-        if len(text) < least:
-            continue
-        own = weight * sum(len(p) for p in _paragraphs(block)) + len(text)
-        if own >= score:  # of equal blocks the innermost
-            best, score = block, own
+        if len(text) >= least:
+            scored.append((weight * sum(len(p) for p in _paragraphs(block)) + len(text), block))
+    most = max((score for score, _ in scored), default=0)
+    near = [(score, -k) for k, (score, _) in enumerate(scored) if score >= 0.9 * most]  # of equal blocks the innermost
+    best = scored[-min(near)[1]][1] if near else None
     found = _paragraphs(best) if best is not None else []
     whole = tree.root.words()
     return found or ([whole] if whole else [])

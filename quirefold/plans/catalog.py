@@ -1,5 +1,7 @@
 """Queries over the catalog, the registry of found titles, documents and events."""
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -309,10 +311,8 @@ def release_stream(spark, d):
         F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0)).alias("tip"),
         (F.col("event_type") != "purchase").alias("ongoing"),
     )
-    name = f"releases_{abs(hash(d))}"
-    folder = f"{checkpoint_folder(spark)}/{name}-{spark.sparkContext.startTime}-{spark._jvm.java.lang.System.nanoTime()}"
-    releases.run_available(observed, name, folder)
-    return spark.table(name)
+    folder = f"{checkpoint_folder(spark)}/releases-{uuid.uuid4().hex}"
+    return releases.run_available(observed, f"{folder}/states", f"{folder}/checkpoint")
 
 
 QUERIES = {

@@ -44,7 +44,11 @@ def track(observations: DataFrame) -> DataFrame:
     return observations.groupBy("key").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(observations: DataFrame, name: str, checkpoint: str) -> None:
-    """Works off what is there and stops, as a periodic poll does; the checkpoint carries the state to the next run."""
-    query = track(observations).writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(observations: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Works off what is there and stops, as a periodic poll does; the states so far, from the Parquet files at ``path``.
+
+    The checkpoint carries the state to the next run, and with it each observation is written exactly once.
+    """
+    query = track(observations).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return observations.sparkSession.read.schema(OUTPUT).parquet(path)
