@@ -143,7 +143,13 @@ def utf8_neighbours(text: str) -> list[tuple[str, float]]:
 
 def other_neighbours(text: str) -> list[tuple[str, float]]:
     """Texts one other pair of encodings away, with the price of the step."""
-    return [(x, 3.0) for x in sorted({_reread(text, a, b) for a, b in REREAD} - {text})]
+    prices: dict[str, float] = {}
+    for a, b in REREAD:
+        out = _reread(text, a, b)
+        if out != text:
+            # Two bytes that make one letter are less likely by chance than one that makes another.
+            prices[out] = min(prices.get(out, 9.0), 1.5 if a in _MULTI_BYTE or b in _MULTI_BYTE else 3.0)
+    return sorted(prices.items())
 
 
 _CHAR_COST: dict[str, tuple[float, str, str]] = {}
@@ -207,13 +213,13 @@ def _script(c: str) -> str:
 
 def weighed(text: str) -> tuple[float, float]:
     """(cost, suspicion): how implausible the characters are, and the part that no correct text has."""
-    total, suspicion, before, last, last_script = 0.0, 0.0, "", "", ""
+    total, suspicion, before, last, last_script, turned = 0.0, 0.0, "", "", "", False
     for c in text:
         if c < "\x80":
             kind = "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "" if c >= " " else "s"
             script, value = ("latin" if kind in ("l", "u") else ""), 0.0
             if before < "\x80":
-                before, last, last_script = c, kind, script
+                before, last, last_script, turned = c, kind, script, False
                 continue
         else:
             known = _CHAR_COST.get(c)
@@ -227,8 +233,11 @@ def weighed(text: str) -> tuple[float, float]:
             odd += value - 1.4
         if before:
             extra = 0.0
-            if kind == "u" and last == "l":
-                extra += 2.5  # upper case within a word
+            turned = kind == "u" and (last == "l" or (turned and last == "u"))
+            if turned:
+                extra += 2.5 if last == "l" else 0.5  # upper case within a word, and each letter more
+            if c >= "\x80" and before >= "\x80" and script == last_script == "latin":
+                total += 0.5  # words of accented letters only are rare, but correct in some languages
             if script and last_script and script != last_script:
                 extra += 3.0  # two scripts within a word
             if (kind == "s" and last in ("l", "u", "w", "s")) or (last == "s" and kind in ("l", "u", "w")):
@@ -261,7 +270,7 @@ def cheapest(text: str, most_states: int = 25) -> tuple[str, float]:
     while queue and n < most_states:
         at, depth, state, paid, suspicion = heapq.heappop(queue)
         n += 1
-        if at > lowest + 6 or _settled(state, suspicion):
+        if _settled(state, suspicion):
             break
         if depth >= 5:
             continue
