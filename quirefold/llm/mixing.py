@@ -40,8 +40,10 @@ def _counted(tokenizer: str) -> Callable:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coder = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
+            if not len(batch):
+                continue
             counts = [len(coder.encode_ordinary(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "text_key": batch["text_key"], "tokens": counts})
+            yield pd.DataFrame({k: batch[k].tolist() for k in ("doc_id", "source", "text_key")} | {"tokens": counts})
 
     return run
 
