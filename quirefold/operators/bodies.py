@@ -4,12 +4,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import body, digest16
+from quirefold.session import spread
 
 
 def body_digests(chapters: DataFrame, least: int = 300) -> DataFrame:
     """(novel_id, chapter_number, digest) of bodies of at least ``least`` characters; rows stored again count once."""
     return (
-        chapters.select("novel_id", "chapter_number", body(F.col("paragraphs_json")).alias("body"))
+        spread(chapters.select("novel_id", "chapter_number", "paragraphs_json"))
+        .select("novel_id", "chapter_number", body(F.col("paragraphs_json")).alias("body"))
         .where(F.length("body") >= least)
         .select("novel_id", "chapter_number", digest16(F.col("body")).alias("digest"))
         .distinct()

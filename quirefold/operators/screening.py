@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import collapsed, link_count, word_count
+from quirefold.session import spread
 
 
 def screen(texts: DataFrame, group: str, identity: str, text: str, least_repeat: int = 140) -> DataFrame:
@@ -12,7 +13,7 @@ def screen(texts: DataFrame, group: str, identity: str, text: str, least_repeat:
     Repeats are counted as texts less distinct texts, by digest, in two aggregations with partial sums.
     """
     low = F.lower(collapsed(F.coalesce(F.col(text), F.lit(""))))
-    rows = texts.select(
+    rows = spread(texts.select(group, text)).select(
         F.col(group).alias("g"),
         F.when(F.length(low) > least_repeat, F.xxhash64(low)).alias("key"),
         word_count(F.coalesce(F.col(text), F.lit(""))).alias("words"),

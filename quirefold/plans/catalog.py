@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import html as H
 from quirefold.functions import text as T
 from quirefold.operators import activity, placement, prefix, reader, schedule, screening, store
-from quirefold.session import checkpoint_folder
+from quirefold.session import checkpoint_folder, spread
 from quirefold.sources import files
 from quirefold.sources.tables import table
 from quirefold.streaming import releases
@@ -250,7 +250,8 @@ def _pages(spark, d):
         F.coalesce("novel_id", F.lit("none")),
         F.lit('">More</a></body></html>'),
     )
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "novel_id", "text", html.alias("html"))
+    documents = spread(table(spark, d, "documents").select("doc_id", "novel_id", "text"))
+    return documents.where("text IS NOT NULL").select("doc_id", "novel_id", "text", html.alias("html"))
 
 
 def page_links(spark, d):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators import bodies, store
+from quirefold.session import spread
 from quirefold.sources.tables import table
 
 _BODY = "lower(trim(regexp_replace(array_to_string(from_json(paragraphs_json, '[\"VARCHAR\"]'), ' '), '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g')))"
@@ -164,7 +165,7 @@ def valid_paragraphs(spark, d):
     p = T.paragraphs(F.col("paragraphs_json"))
     chars = F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x))
     return (
-        _chapters(spark, d)
+        spread(_chapters(spark, d).select("novel_id", "paragraphs_json"))
         .select("novel_id", p.alias("p"))
         .select(
             "novel_id",

@@ -20,3 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither recompute it nor depend on one executor."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over as many tasks as can run if its files give fewer.
+
+    A small table in one file is read by one task, which then does all the work on its texts.  Where files give
+    enough tasks, as they do for anything large, nothing is shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
