@@ -8,13 +8,18 @@ from quirefold.session import spread
 
 
 def body_digests(chapters: DataFrame, least: int = 300) -> DataFrame:
-    """(novel_id, chapter_number, digest) of bodies of at least ``least`` characters; rows stored again count once."""
+    """(novel_id, chapter_number, digest) of bodies of at least ``least`` characters; rows stored again count once.
+
+    Rows without a key are left out.  The digest comes out of a generator, because the optimizer would copy
+    a plain expression into the filter and work out each body twice.
+    """
+    digest = F.transform(F.array(body(F.col("paragraphs_json"))), lambda b: F.when(F.length(b) >= least, digest16(b)))
     return (
         spread(chapters.select("novel_id", "chapter_number", "paragraphs_json"))
-        .select("novel_id", "chapter_number", body(F.col("paragraphs_json")).alias("body"))
-        .where(F.length("body") >= least)
-        .select("novel_id", "chapter_number", digest16(F.col("body")).alias("digest"))
+        .where("novel_id IS NOT NULL AND chapter_number IS NOT NULL")
+        .select("novel_id", "chapter_number", F.explode(F.filter(digest, lambda d: d.isNotNull())).alias("digest"))
         .distinct()
+        .where("digest IS NOT NULL")
     )
 
 

@@ -9,7 +9,7 @@ from quirefold.sources.tables import table
 
 _BODY = "lower(trim(regexp_replace(array_to_string(from_json(paragraphs_json, '[\"VARCHAR\"]'), ' '), '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g')))"
 _DIGESTS = f"""WITH digests AS (SELECT DISTINCT novel_id, chapter_number, substr(sha256(b), 1, 16) AS digest
-  FROM (SELECT novel_id, chapter_number, {_BODY} AS b FROM chapters) WHERE length(b) >= 300)"""
+  FROM (SELECT novel_id, chapter_number, {_BODY} AS b FROM chapters WHERE novel_id IS NOT NULL AND chapter_number IS NOT NULL) WHERE length(b) >= 300)"""
 _REPEATS = _DIGESTS + """, first AS (SELECT novel_id, digest, min(chapter_number) AS first_chapter FROM digests GROUP BY 1, 2),
 repeats AS (SELECT novel_id, first_chapter, chapter_number AS repeated_chapter, digest
   FROM digests JOIN first USING (novel_id, digest) WHERE chapter_number > first_chapter)"""
