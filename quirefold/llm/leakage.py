@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import words
+from quirefold.session import spread
 
 _U = np.uint64
 
@@ -189,7 +190,7 @@ def leaks(
     changed words count too (then longest_run may be 0).
     """
     spark = documents.sparkSession
-    source = documents.select("doc_id", "text").where("text IS NOT NULL")
+    source = spread(documents.select("doc_id", "text").where("text IS NOT NULL"))
     schema = "doc_id long, item_id long, longest_run int, similarity double"
     held = item_windows([tuple(r) for r in items.select("item_id", "text").where("text IS NOT NULL").toLocalIterator()], window)
     if not len(held):

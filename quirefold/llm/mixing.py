@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quirefold.session import cut
+from quirefold.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's makers cut text into pieces.  A fixed value.
@@ -50,7 +50,7 @@ def _counted(tokenizer: str) -> Callable:
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, text_key, tokens) of documents with text; ``text_key`` is equal for equal texts."""
-    rows = documents.select("doc_id", "source", "text", F.sha2("text", 256).alias("text_key")).where("text IS NOT NULL AND trim(text) <> ''")
+    rows = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", "text", F.sha2("text", 256).alias("text_key")).where("text IS NOT NULL AND trim(text) <> ''")
     return rows.mapInPandas(_counted(tokenizer), "doc_id long, source string, text_key string, tokens long")
 
 

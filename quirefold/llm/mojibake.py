@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.session import spread
+
 #: Encodings in which bytes of UTF-8 are often read.
 READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "cp1254", "cp866", "iso8859_2", "cp1253", "cp1257", "mac_cyrillic"]
 #: (read as, written in) of encodings other than UTF-8.
@@ -332,6 +334,6 @@ def _garbled(fields: list[str]) -> Callable:
 
 def garbled(df: DataFrame, identity: str, fields: list[str]) -> DataFrame:
     """(identity, field_name, value, restored, lost) of garbled values of the named columns; other columns are ignored."""
-    source = df.select(F.col(identity).cast("long").alias("row"), *[F.col(f).cast("string") for f in fields])
+    source = spread(df.select(F.col(identity).cast("long").alias("row"), *[F.col(f).cast("string") for f in fields]))
     schema = "row long, field_name string, value string, restored string, lost boolean"
     return source.mapInPandas(_garbled(fields), schema).withColumnRenamed("row", identity)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import words
-from quirefold.session import cut
+from quirefold.session import cut, spread
 
 _U = np.uint64
 SKETCH_WORDS = 4
@@ -302,7 +302,7 @@ def forest_pairs(
     """
     source = df.select(F.col(identity).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     found = cut(
-        source.mapInPandas(
+        spread(source).mapInPandas(
             _described(read, shingle, least, trees, depth, seed),
             "id long, digest long, check long, n long, node array<long>, sketch array<long>",
         )

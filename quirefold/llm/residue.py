@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.session import spread
+
 _ID = r"[A-Za-z_][\w.\[\]]*"
 _CAPS = r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*"
 _UNSET = r"(?:undefined|NaN|null|None|nil|NULL)"
@@ -215,8 +217,9 @@ def residue(
     A line that stands at least ``recurrent`` times on one host is boilerplate there.
     """
     rows = chapters.select(F.col(identity).cast("long").alias("row"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    marked = rows.where("text IS NOT NULL").mapInPandas(_evidence(), "row long, host string, line string, kind string, weak boolean")
-    counts = line_counts(chapters, host, text, recurrent)
+    rows = spread(rows.where("text IS NOT NULL"))
+    marked = rows.mapInPandas(_evidence(), "row long, host string, line string, kind string, weak boolean")
+    counts = line_counts(rows, "host", "text", recurrent)
     judged = marked.withColumn("key", _key(F.col("host"), F.col("line"))).join(counts, "key", "left")
     boilerplate = F.col("weak") & F.col("times").isNotNull()
     return (

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import words
+from quirefold.session import spread
 
 _END = re.compile(r"[.!?…。！？]+[\"”’»)\]]*(?=\s|$)|\n+")
 
@@ -296,4 +297,4 @@ def assign(
     if not names or not labels.any():
         return spark.createDataFrame([], schema)
     model = train(texts, sources, labels, names, quarter, beam)
-    return documents.select("doc_id", "text", "source").where("text IS NOT NULL").mapInPandas(_score(model), schema)
+    return spread(documents.select("doc_id", "text", "source").where("text IS NOT NULL")).mapInPandas(_score(model), schema)
