@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 SALT = "__salt"
 KEY = "__key"
-TOTAL = "__total"
 
 
 def _salt(identity: Sequence[Column], salts: int) -> Column:
@@ -39,11 +38,9 @@ def heavy_keys(df: DataFrame, key: str, identity: Sequence[str], share: float =
     but its rows count in the total.  An empty table has none.
     """
     counts = key_counts(df, key, identity, salts)
-    total = counts.agg(F.sum("n_rows").alias(TOTAL))
-    return (
-        counts.crossJoin(F.broadcast(total))  # the total is one row
-        .where(F.col(key).isNotNull() & (F.col("n_rows") > F.col(TOTAL) * F.lit(share)))
-        .select(key, "n_rows", (F.col("n_rows") / F.col(TOTAL)).alias("share_of_rows"))
+    total = counts.agg(F.sum("n_rows")).scalar()
+    return counts.where(F.col(key).isNotNull() & (F.col("n_rows") > total * F.lit(share))).select(
+        key, "n_rows", (F.col("n_rows") / total).alias("share_of_rows")
     )
 
 
