@@ -194,15 +194,14 @@ def mix(
     reached = chosen.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("mix_tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats")
     )
-    whole = reached.agg(F.sum("mix_tokens").alias("all_tokens"))
+    whole = reached.agg(F.sum("mix_tokens")).scalar()
     shares = (
         targets.select("source", "target_share", "max_repeats")
         .join(reached, "source", "left")
-        .crossJoin(F.broadcast(whole))  # one row
         .select(
             "source",
             "target_share",
-            F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"),
+            F.coalesce(F.col("mix_tokens") / whole, F.lit(0.0)).alias("reached_share"),
             F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"),
             F.coalesce("documents", F.lit(0)).alias("documents"),
             "max_repeats",
