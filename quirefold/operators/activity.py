@@ -55,13 +55,12 @@ def merged_records(previous: DataFrame, outcomes: DataFrame, key: str, values: l
 
 
 def feed(items: DataFrame, observed_at: str, age_s: str, now: Column, most_age: int = FIVE_DAYS) -> DataFrame:
-    """Visible items whose effective age is below ``most_age``, strictly; newest first gives ``place``.
+    """Visible items whose effective age is below ``most_age``, strictly, with ``effective_age_s``; none is cut off.
 
     The age grows with the clock: now - observed_at + age at observation.
     """
     age = F.unix_timestamp(now) - F.unix_timestamp(observed_at) + F.col(age_s)
-    shown = items.where(~F.coalesce("discovery_hidden", F.lit(False))).withColumn("effective_age_s", age).where((age >= 0) & (age < most_age))
-    return shown
+    return items.where(~F.coalesce("discovery_hidden", F.lit(False))).withColumn("effective_age_s", age).where((age >= 0) & (age < most_age))
 
 
 def alerts(saved: DataFrame, seen: DataFrame, releases: DataFrame) -> DataFrame:
