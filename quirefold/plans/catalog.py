@@ -215,8 +215,7 @@ def screening_counts(spark, d):
 def genre_by_words(spark, d):
     """Genre by the first rule whose words stand in title or synopsis."""
     words = F.concat_ws(" ", "title", "synopsis")
-    ascii_only = table(spark, d, "auto_freewebnovel").where(words.rlike("^[ -~]*$"))
-    return ascii_only.select("entry_id", T.first_rule(words, GENRES, "Fantasy").alias("genre"), T.shortened(F.col("synopsis"), 158).alias("summary"))
+    return table(spark, d, "auto_freewebnovel").select("entry_id", T.first_rule(words, GENRES, "Fantasy").alias("genre"), T.shortened(F.col("synopsis"), 158).alias("summary"))
 
 
 def tags_in_use(spark, d):
