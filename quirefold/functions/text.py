@@ -53,7 +53,7 @@ def number_in_title(c: Column) -> Column:
 def unprefixed_title(c: Column) -> Column:
     """A title without a first number that a second one contradicts, and without zero-width characters."""
     plain = F.regexp_replace(c, r"[​-‍⁠﻿]", "")
-    return F.regexp_replace(plain, r"(?i)^\s*chapter\s+[0-9.]+\s*:\s*(chapter\s+[0-9]+)", "$1")
+    return F.regexp_replace(plain, rf"(?i)^{SPACE}*chapter{SPACE}+[0-9.]+{SPACE}*:{SPACE}*(chapter{SPACE}+[0-9]+)", "$1")
 
 
 def titled(number: Column, title: Column) -> Column:

@@ -189,8 +189,7 @@ def title_labels(spark, d):
     label = T.unprefixed_title(F.col("title"))
     return (
         _chapters(spark, d)
-        .where(F.col("title").rlike("^[ -~]*$"))
-        .select("row_id", "chapter_number", label.alias("label"), T.number_in_title(label).alias("label_number"), "title")
+        .select("row_id", "chapter_number", label.alias("label"), T.number_in_title(T.collapsed(label)).alias("label_number"), "title")
         .where("label <> title")
         .drop("title")
     )

@@ -30,3 +30,26 @@ def test_genre_of_every_entry(spark, tmp_path):
     got = {r.entry_id: (r.genre, r.summary) for r in catalog.genre_by_words(spark, str(tmp_path)).collect()}
     assert got == {i: (genre(t, s), summary(s)) for i, t, s in rows}
     assert got[1][0] == "Xianxia" and got[2][0] == "Sci-fi" and got[4][0] == "Fantasy"
+
+
+def test_labels_of_titles_in_any_script(spark, tmp_path):
+    titles = {
+        1: "Chapter 416: Chapter 415 - Café Of The Velvet Ember",
+        2: "Chapter 1700: ​Chapter 1700: Quinn Museum",
+        3: "Chapter 20:　Chapter　19　-　Name",
+        4: "Chapter 7: 夜の約束",
+        5: "Zero​ width",
+        6: "Café",
+        7: None,
+        8: "chapter 3: chapter 2 plain",
+    }
+    rows = [(i, i, t) for i, t in titles.items()]
+    spark.createDataFrame(rows, "row_id long, chapter_number int, title string").write.parquet(str(tmp_path / "chapters.parquet"))
+    got = {r.row_id: (r.label, r.label_number) for r in corpus.title_labels(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("Chapter 415 - Café Of The Velvet Ember", 415),
+        2: ("Chapter 1700: Quinn Museum", 1700),
+        3: ("Chapter　19　-　Name", 19),
+        5: ("Zero width", None),
+        8: ("chapter 2 plain", 2),
+    }
