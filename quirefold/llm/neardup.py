@@ -1,14 +1,12 @@
-"""Near-duplicate texts with small edits: a MinHash LSH forest with exact verification.
+"""Near-duplicate texts with small edits: MinHash prefixes of a fixed length with exact verification.
 
 1. Rows with the same normalised text form a class; only one representative per class goes on, so a
    group of copies costs one row however large it is.
-2. A representative gets ``trees`` labels.  A label is a path of ``depth`` MinHash values in one prefix trie.
-3. Nodes of every trie are the groups of equal path prefixes.  All representatives of a node of depth
-   ``depth - 1`` are candidates of each other while the node is small; a node that is crowded is divided by
-   the last value of the path first.  So prefixes are shortened just as far as the population of the corpus
-   allows, and the recall at the threshold is never below that of the full depth,
-   1 - (1 - threshold**depth)**trees.  A node that is still crowded at full depth is cut into blocks whose
-   pairs are compared in separate tasks: no node is dropped, capped or held in one task.
+2. A representative gets one label of ``depth`` MinHash values per tree.  There are as many trees as a pair at the
+   threshold needs to be found with the chance ``recall``, 1 - (1 - threshold**depth)**trees.
+3. All representatives with the same label in a tree are candidates of each other, however many they are, so the
+   recall is the same at every size.  A crowded label is cut into blocks whose pairs are compared in separate tasks:
+   no label is dropped, capped, divided by further values or held in one task.
 4. A candidate pair is held against one-bit MinHash sketches (the chance that a pair at the threshold is lost there
    is under 1e-4), then its distinct shingles are compared exactly.
 
@@ -18,6 +16,7 @@ Repeated rows are pairs like any other; ties do not matter because every pair is
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -103,8 +102,8 @@ def _described(read: Callable, shingle: int, least: int, trees: int, depth: int,
                 kept = [texts[i] for i in keep]
                 sig, counts = signatures(kept, shingle, max(trees * depth, n_sketch), seed)
                 label = sig[:, : trees * depth].reshape(len(kept), trees, depth)
-                node = _fold(label[:, :, : depth - 1]) >> _U(24)
-                node = (node << _U(24)) | (_fold(label[:, :, depth - 1 :]) >> _U(40))
+                # 32 bits are enough within a tree: labels that meet by chance only add candidates.
+                node = (_fold(label) >> _U(32)).astype(np.uint32)
                 bits = np.packbits((sig[:, :n_sketch] & 1).astype(np.uint8), axis=1).view(np.int64)
                 digest = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in kept]
                 digest = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
@@ -114,7 +113,7 @@ def _described(read: Callable, shingle: int, least: int, trees: int, depth: int,
                         "digest": digest[:, 0],
                         "check": digest[:, 1],
                         "n": counts,
-                        "node": list(node.view(np.int64)),
+                        "node": list(node.view(np.int32)),
                         "sketch": list(bits),
                     }
                 )
@@ -126,15 +125,9 @@ def _explode_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        node = np.stack(batch["node"].to_numpy()).view(_U)
-        tree = np.arange(node.shape[1], dtype=_U)
-        high = words.mix((node >> _U(24)) * _U(4096) + tree)
-        yield pd.DataFrame(
-            {
-                "node": (high.ravel() & ~_U(0xFFFFFF) | (node.ravel() & _U(0xFFFFFF))).view(np.int64),
-                "id": np.repeat(batch["id"].to_numpy(), node.shape[1]),
-            }
-        )
+        node = np.stack(batch["node"].to_numpy()).view(np.uint32).astype(np.int64)
+        node += np.arange(node.shape[1], dtype=np.int64) << 32
+        yield pd.DataFrame({"node": node.ravel(), "id": np.repeat(batch["id"].to_numpy(), node.shape[1])})
 
 
 def _pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,41 +136,33 @@ def _pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk(small: int, block: int) -> Callable:
-    """Rows sorted by node come in; pairs of small nodes and blocks of crowded ones go out.
+    """Rows sorted by node come in; pairs of nodes and blocks of crowded ones go out.
 
-    Only one batch and one block of one node are held at a time.
+    Only one batch and one block of one node are held at a time.  Nodes of up to ``small`` rows are worked on together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"prefix": None, "ids": [], "paths": [], "held": 0, "wide": False, "path": None, "number": 0, "block": []}
+        state: dict = {"path": None, "number": 0, "block": []}
         pairs: list = []
         blocks: list = []
 
-        def close_path() -> None:
-            """Ends a full path within a crowded node."""
+        def close() -> None:
             if state["number"]:
                 blocks.append((state["path"], state["number"], state["block"]))
             elif len(state["block"]) > 1:
                 pairs.append(_pairs_of(np.array(state["block"], dtype=np.int64)))
             state.update(block=[], number=0)
 
-        def divide(paths: np.ndarray, ids: np.ndarray) -> None:
-            for path, own in zip(paths.tolist(), ids.tolist()):
-                if path != state["path"]:
-                    close_path()
-                    state["path"] = path
-                elif len(state["block"]) == block:
+        def add(path: int, ids: list[int]) -> None:
+            if path != state["path"]:
+                close()
+                state["path"] = path
+            for own in ids:
+                if len(state["block"]) == block:
                     blocks.append((path, state["number"], state["block"]))
                     state.update(block=[], number=state["number"] + 1)
                 state["block"].append(own)
 
-        def close_prefix() -> None:
-            if state["wide"]:
-                close_path()
-            elif state["held"] > 1:
-                pairs.append(_pairs_of(np.concatenate(state["ids"])))
-            state.update(ids=[], paths=[], held=0, wide=False, path=None)
-
         def flush() -> Iterator[pd.DataFrame]:
             if pairs:
                 a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -195,8 +180,7 @@ def _walk(small: int, block: int) -> Callable:
             if not len(batch):
                 continue
             node, ids = batch["node"].to_numpy().astype(np.int64), batch["id"].to_numpy().astype(np.int64)
-            prefix = node >> 24
-            cuts = np.flatnonzero(np.diff(prefix)) + 1
+            cuts = np.flatnonzero(np.diff(node)) + 1
             lows, highs = np.append(0, cuts), np.append(cuts, len(node))
             sizes = highs - lows
             inner = np.ones(len(sizes), dtype=bool)
@@ -207,24 +191,10 @@ def _walk(small: int, block: int) -> Callable:
                     i, j = np.triu_indices(size, 1)
                     pairs.append((ids[at[:, None] + i].ravel(), ids[at[:, None] + j].ravel()))
             for k in np.flatnonzero(~inner | (sizes > small)):
-                lo, hi = lows[k], highs[k]
-                if prefix[lo] != state["prefix"]:
-                    close_prefix()
-                    state["prefix"] = prefix[lo]
-                if not state["wide"]:
-                    state["ids"].append(ids[lo:hi])
-                    state["paths"].append(node[lo:hi])
-                    state["held"] += hi - lo
-                    if state["held"] <= small:
-                        continue
-                    state["wide"] = True
-                    divide(np.concatenate(state["paths"]), np.concatenate(state["ids"]))
-                    state.update(ids=[], paths=[])
-                else:
-                    divide(node[lo:hi], ids[lo:hi])
+                add(int(node[lows[k]]), ids[lows[k] : highs[k]].tolist())
             if sum(len(p[0]) for p in pairs) > 200_000 or len(blocks) > 200:
                 yield from flush()
-        close_prefix()
+        close()
         yield from flush()
 
     return run
@@ -278,6 +248,11 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
+def tree_count(threshold: float, depth: int, recall: float) -> int:
+    """The fewest trees in which a pair at the threshold shares a label with the chance ``recall``."""
+    return 1 if threshold >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-(threshold**depth)))
+
+
 def forest_pairs(
     df: DataFrame,
     identity: str,
@@ -286,8 +261,8 @@ def forest_pairs(
     threshold: float = 0.8,
     shingle: int = 5,
     least: int = 1,
-    trees: int = 48,
-    depth: int = 5,
+    depth: int = 4,
+    recall: float = 0.999,
     small: int = 6,
     block: int = 512,
     seed: int = 20,
@@ -297,14 +272,16 @@ def forest_pairs(
 
     ``identity`` is a unique BIGINT column, ``text`` the column that ``read`` turns into normalised texts; other columns
     are not touched, so their names cannot clash.  A class is named by its smallest id.  ``members`` has the rows whose
-    text has at least ``least`` characters; ``links`` the pairs of classes with at least the similarity ``threshold``.
+    text has at least ``least`` characters; ``links`` the pairs of classes with at least the similarity ``threshold``,
+    each found with a chance of at least ``recall`` whatever other rows there are.
     Id sets are broadcast up to ``broadcast_ids`` ids (8 bytes each) and joined by shuffle beyond.
     """
+    trees = tree_count(threshold, depth, recall)
     source = df.select(F.col(identity).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     found = cut(
         spread(source).mapInPandas(
             _described(read, shingle, least, trees, depth, seed),
-            "id long, digest long, check long, n long, node array<long>, sketch array<long>",
+            "id long, digest long, check long, n long, node array<int>, sketch array<long>",
         )
     )
     sized = found.groupBy("digest", "check").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("class_size"))
@@ -317,10 +294,8 @@ def forest_pairs(
     n_others = others.count()
     first = only(found, others, "left_anti", n_others)
     nodes = first.where("n > 0").select("node", "id").mapInPandas(_explode_nodes, "node long, id long")
-    # Only whole nodes of depth - 1 must meet: partition by the prefix, sort by the path.
-    prefix = F.shiftright("node", 24)
     walked = cut(
-        nodes.repartition(prefix)
+        nodes.repartition("node")
         .sortWithinPartitions("node")
         .mapInPandas(_walk(small, block), "a long, b long, node long, block int, members array<long>")
     )

@@ -99,3 +99,14 @@ def test_json_bodies_and_lengths(spark):
 def test_broadcast_and_shuffle_give_the_same(spark):
     rows = [(i, t, "", "") for i, t in enumerate(corpus(4, 30))]
     assert pairs(spark, rows, threshold=0.5, shingle=3) == pairs(spark, rows, threshold=0.5, shingle=3, broadcast_ids=0)
+
+
+def test_recall_is_the_same_in_crowded_families(spark):
+    core = " ".join(f"w{i}" for i in range(100))
+    texts = [core + " " + " ".join(f"own{k}x{i}" for i in range(48)) for k in range(40)]
+    sets = [shingles(t, 3) for t in texts]
+    assert all(0.5 <= jaccard(a, b) < 0.51 for a, b in itertools.combinations(sets, 2))
+    got = pairs(spark, [(k, t, "", "") for k, t in enumerate(texts)], threshold=0.5, shingle=3)
+    assert len(got) >= 0.99 * 40 * 39 / 2
+    few = pairs(spark, [(k, t, "", "") for k, t in enumerate(texts[:4])], threshold=0.5, shingle=3)
+    assert set(few) == {p for p in got if p[1] < 4}
