@@ -7,8 +7,11 @@
 2. The same fingerprint is taken of each run of ``window`` words of each document, with sliding sums over words.
 3. A fingerprint is cut into radius + 1 blocks.  Two fingerprints within the radius are equal in at least one block
    (pigeonhole), so looking up each block in a table finds all of them.
+   Equal windows have equal fingerprints.  Windows with a changed word are mostly farther apart than blocks can
+   reach, so below full similarity candidates come from shared pairs of neighbouring words instead: a window at
+   the least similarity shares at least ``_least_pairs`` of them, so none is lost.
 4. Candidates are verified on the words themselves.  The similarity of a window and a run is the weight of the
-   shingles they share, position by position, divided by the weight of either; it is 1 exactly when all words are equal.
+   shingles they share, as multisets, divided by the weight of either; a run is exact when all its words are equal.
 
 ``leaks`` reports (document, item) once per pair with the longest exact run and the best similarity.  Null and blank
 texts and items shorter than the window leak nothing; an item or document that occurs twice is reported
@@ -104,12 +107,74 @@ class _Index:
         return both[0], both[1]
 
 
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words along the last axis."""
+    with np.errstate(over="ignore"):
+        return words.mix(x[..., :-1] * _U(0xD6E8FEB86659FD93) + x[..., 1:])
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Size of the intersection of the multisets in the rows of x and y."""
+
+    def numbered(v: np.ndarray) -> np.ndarray:
+        earlier = np.tril(np.ones((v.shape[1], v.shape[1]), dtype=bool), -1)
+        times = ((v[:, :, None] == v[:, None, :]) & earlier).sum(axis=2).astype(_U)
+        with np.errstate(over="ignore"):
+            return words.mix(v + times * _U(0x9E3779B97F4A7C15))
+
+    return (numbered(x)[:, :, None] == numbered(y)[:, None, :]).any(axis=2).sum(axis=1)
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weighted-shingle similarity of equally long windows, row by row: words weigh 2, neighbours 1."""
-    same = x == y
-    both = 2 * same.sum(axis=1) + (same[:, 1:] & same[:, :-1]).sum(axis=1)
     most = 2 * x.shape[1] + x.shape[1] - 1
-    return both / (2 * most - both)
+    out = np.empty(len(x))
+    for lo in range(0, len(x), 8192):
+        a, b = x[lo : lo + 8192], y[lo : lo + 8192]
+        both = 2 * _shared(a, b) + _shared(_pairs(a), _pairs(b))
+        out[lo : lo + 8192] = both / (2 * most - both)
+    return out
+
+
+def _least_pairs(window: int, least: float) -> int:
+    """Pairs of neighbours that windows of at least a similarity share, even if they share every word."""
+    n = int(np.ceil(2 * (3 * window - 1) * least / (1 + least) - 2 * window - 1e-9))
+    if n < 1:
+        raise ValueError(f"windows of {window} words may share no pair of neighbours at similarity {least}")
+    return n
+
+
+class _PairIndex:
+    """Windows of items by the pairs of neighbouring words of their items."""
+
+    def __init__(self, item: np.ndarray, own: np.ndarray, window: int, least: float):
+        self.window, self.need = window, _least_pairs(window, least)
+        _, code = np.unique(item, return_inverse=True)
+        self.items = int(code.max()) + 1
+        self.order = np.argsort(code, kind="stable")
+        self.bounds = np.searchsorted(code[self.order], np.arange(self.items + 1))
+        table = pd.DataFrame({"pair": _pairs(own).ravel(), "code": np.repeat(code, window - 1)}).drop_duplicates().sort_values("pair")
+        self.pair, self.code = table["pair"].to_numpy(), table["code"].to_numpy()
+
+    @staticmethod
+    def _each(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row with every number of its range."""
+        n = hi - lo
+        return np.repeat(rows, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+    def candidates(self, part: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, window) of all runs and windows that can reach the least similarity, in pieces."""
+        found = _pairs(part)
+        at, entry = self._each(np.arange(len(found)), np.searchsorted(self.pair, found, "left"), np.searchsorted(self.pair, found, "right"))
+        start = at[:, None] - np.arange(self.window - 1)
+        key = (start * self.items + self.code[entry][:, None])[start >= 0]
+        key, n = np.unique(key, return_counts=True)
+        key = key[n >= self.need]
+        key = key[np.isin(key // self.items, whole)]
+        for lo in range(0, len(key), 2048):
+            position, code = key[lo : lo + 2048] // self.items, key[lo : lo + 2048] % self.items
+            row, place = self._each(np.arange(len(code)), self.bounds[code], self.bounds[code + 1])
+            yield position[row], self.order[place]
 
 
 def item_windows(items: list[tuple[int, str]], window: int) -> pd.DataFrame:
@@ -128,7 +193,10 @@ def _search(windows: pd.DataFrame, window: int, radius: int, least: float) -> Ca
     item, at, own = windows["item_id"].to_numpy(), windows["at"].to_numpy(), np.stack(windows["words"].to_numpy())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _Index(np.concatenate([fingerprints(w, window) for w in own]), radius)
+        if least < 1:
+            index = _PairIndex(item, own, window, least)
+        else:
+            index = _Index(np.concatenate([fingerprints(w, window) for w in own]), radius)
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
             group: list[int] = []
@@ -140,7 +208,7 @@ def _search(windows: pd.DataFrame, window: int, radius: int, least: float) -> Ca
                     yield from search(ids[group], [texts[g].lower() for g in group], index)
                     group, size = [], 0
 
-    def search(ids: np.ndarray, texts: list[str], index: _Index) -> Iterator[pd.DataFrame]:
+    def search(ids: np.ndarray, texts: list[str], index: _Index | _PairIndex) -> Iterator[pd.DataFrame]:
         value, number, _, _ = words.word_hashes(texts)
         step = 8192
         hits = []
@@ -149,19 +217,24 @@ def _search(windows: pd.DataFrame, window: int, radius: int, least: float) -> Ca
             if len(part) < window:
                 continue
             whole = np.flatnonzero(owner[: len(part) - window + 1] == owner[window - 1 :])
-            prints = fingerprints(part, window)[whole]
-            where, which = index.within(prints)
-            if len(where):
-                where = whole[where]
-                score = similarity(part[where[:, None] + np.arange(window)], own[which])
-                good = score >= least
-                hits.append(pd.DataFrame({"k": owner[where[good]], "position": lo + where[good], "w": which[good], "similarity": score[good]}))
+            if least < 1:
+                found = index.candidates(part, whole)
+            else:
+                where, which = index.within(fingerprints(part, window)[whole])
+                found = [(whole[where], which)]
+            for where, which in found:
+                if not len(where):
+                    continue
+                x, y = part[where[:, None] + np.arange(window)], own[which]
+                exact = (x == y).all(axis=1)
+                score = similarity(x, y) if least < 1 else exact.astype(float)
+                good = (score >= least) if least < 1 else exact
+                hits.append(pd.DataFrame({"k": owner[where[good]], "position": lo + where[good], "w": which[good], "similarity": score[good], "exact": exact[good]}))
         hits = [h for h in hits if len(h)]
         if not hits:
             return
         hit = pd.concat(hits).drop_duplicates(["position", "w"])
         hit["item_id"], hit["shift"] = item[hit["w"]], hit["position"] - at[hit["w"]]
-        hit["exact"] = hit["similarity"] >= 1.0
         hit = hit.sort_values(["k", "item_id", "shift", "position"])
         # Exact windows that follow each other on one diagonal are one run.
         new = (hit[["k", "item_id", "shift"]].diff().ne(0).any(axis=1)) | (hit["position"].diff() != 1) | (hit["exact"] != hit["exact"].shift())
@@ -187,7 +260,7 @@ def leaks(
 
     ``documents`` has doc_id and text, ``items`` item_id and text; other columns are ignored.  With
     ``least_similarity`` 1 a pair needs ``window`` equal consecutive words, below that windows with
-    changed words count too (then longest_run may be 0).
+    changed, inserted or dropped words count too (then longest_run may be 0); ``radius`` is of no account there.
     """
     spark = documents.sparkSession
     source = spread(documents.select("doc_id", "text").where("text IS NOT NULL"))

@@ -83,8 +83,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of items that stand in a document with some words changed: SimHash within the radius, similarity of 0.6 or more."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), radius=4, least_similarity=0.6).select(
+    """Windows of items that stand in a document with some words changed: similarity of 0.6 or more."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), least_similarity=0.6).select(
         "doc_id", "item_id", F.round("similarity", 6).alias("similarity")
     )
 

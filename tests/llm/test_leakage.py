@@ -86,3 +86,35 @@ def test_a_very_long_document(spark):
     d = spark.createDataFrame([(1, "x y " * 60_000 + item + " z" * 60_000)], "doc_id long, text string")
     i = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert L.leaks(d, i).count() == 1
+
+
+def test_near_windows_against_brute_force(spark, tmp_path):
+    from collections import Counter
+
+    from quirefold.llm.queries import p7_near
+
+    draw = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(60)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.randint(11, 18)))) for i in range(8)]
+    documents = []
+    for k in range(60):
+        w = draw.choice(items)[1].split()[:13]
+        for _ in range(k % 4):
+            at = draw.randrange(len(w))
+            draw.choice([lambda: w.pop(at), lambda: w.insert(at, "new"), lambda: w.__setitem__(at, "other")])()
+        documents.append((k, " ".join([draw.choice(vocabulary) for _ in range(6)] + w + ["end"] * 3)))
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+
+    def shingles(text):
+        w = text.split()
+        return [Counter({**{x: 2 * n for x, n in Counter(v).items()}, **Counter(zip(v, v[1:]))}) for v in (w[i : i + 12] for i in range(len(w) - 11))]
+
+    want = {}
+    for dk, dt in documents:
+        for ik, it in items:
+            best = max((sum((x & y).values()) / sum((x | y).values()) for x in shingles(dt) for y in shingles(it)), default=0)
+            if best >= 0.6:
+                want[dk, ik] = round(best, 6)
+    got = {(r.doc_id, r.item_id): r.similarity for r in p7_near(spark, str(tmp_path)).collect()}
+    assert got == want and sum(s < 1 for s in want.values()) > 15
