@@ -140,14 +140,12 @@ def age_label(seconds: Column) -> Column:
     )
 
 
-def first_rule(c: Column, rules: list[tuple[str, list[str]]], otherwise: str) -> Column:
-    """The name of the first rule one of whose words stands in the text."""
+def matching_rules(c: Column, rules: list[tuple[str, list[str]]], otherwise: str, most: int) -> Column:
+    """The names, in order and at most ``most``, of all rules one of whose words stands in the text; ``otherwise`` if there is none."""
     low = F.lower(c)
-    out = None
-    for name, parts in rules:
-        hit = reduce(lambda x, y: x | y, [low.contains(p) for p in parts])
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit(otherwise))
+    hits = [F.when(reduce(lambda x, y: x | y, [low.contains(p) for p in parts]), F.lit(name)) for name, parts in rules]
+    found = F.array_compact(F.array(*hits))
+    return F.when(F.size(found) == 0, F.array(F.lit(otherwise))).otherwise(F.slice(found, 1, most))
 
 
 def shortened(c: Column, most: int) -> Column:

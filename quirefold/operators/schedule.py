@@ -1,11 +1,12 @@
 """Choosing what to load next: least complete first, budgets, rotation, priorities."""
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quirefold.operators.prefix import running_sum
-
 
 def least_complete_first(novels: DataFrame, stored: DataFrame) -> DataFrame:
     """(novel_id, stored, total, rank) of incomplete novels: the smallest stored share first, then by id.
@@ -71,9 +72,32 @@ def priority_then_rotation(items: DataFrame, key: str, priority: str, order: str
     return queue.withColumn("place", place).where(F.col("place") <= most).drop("turn")
 
 
-def reserved(requests: DataFrame, day: str, bucket: Column, order: list[str], cost: str, budget: float) -> DataFrame:
-    """``requests`` with the day's running cost and whether it is within ``budget``; sums are never given back."""
-    return running_sum(requests, day, bucket, order, cost, "reserved").withColumn("accepted", F.col("reserved") <= budget)
+def _admitted(budget: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        day, reserved = object(), 0
+        for batch in batches:
+            sums, taken = [], []
+            for own, cost in zip(batch["day"], batch["cost"].tolist()):
+                if own != day:
+                    day, reserved = own, 0
+                fits = reserved + cost <= budget
+                reserved += cost if fits else 0
+                sums.append(reserved)
+                taken.append(fits)
+            yield pd.DataFrame({"id": batch["id"].tolist(), "day": batch["day"].tolist(), "reserved": sums, "accepted": taken})
+
+    return run
+
+
+def reserved(requests: DataFrame, day: str, order: list[str], identity: str, cost: str, budget: int) -> DataFrame:
+    """(id, day, reserved, accepted): compare-and-reserve; a request is accepted if it still fits, and only then adds to the day's sum.
+
+    Whether a request fits depends on all accepted ones before it, so a day is worked through in order by one task, which
+    holds one batch at a time.  Costs are whole numbers, null ones count as 0; a null day is a day of its own.
+    """
+    rows = requests.select(F.col(day).alias("day"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], F.col(identity).alias("id"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("cost"))
+    placed = rows.repartition("day").sortWithinPartitions("day", *[f"__{i}" for i in range(len(order))]).select("id", "day", "cost")
+    return placed.mapInPandas(_admitted(budget), f"id {requests.schema[identity].dataType.simpleString()}, day {requests.schema[day].dataType.simpleString()}, reserved long, accepted boolean")
 
 
 def target_count(stored: Column, latest: Column, batch: int) -> Column:

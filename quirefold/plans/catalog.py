@@ -14,13 +14,15 @@ from quirefold.sources.tables import table
 from quirefold.streaming import releases
 
 NOW = "2026-10-11 09:00:00"
+#: Rules of the classifier, in order.  Fixed values.
 GENRES = [
-    ("Xianxia", ["cultivat", "sect", "immortal", "sword saint"]),
-    ("Sci-fi", ["space", "robot", "android", "starship"]),
-    ("Horror", ["ghost", "dread", "haunt"]),
-    ("Romance", ["love", "wedding", "duke"]),
-    ("Mystery", ["detective", "murder", "clue"]),
-    ("Slice of Life", ["tea", "garden", "kitchen", "shop"]),
+    ("Romance", ["romance", "marriage", "husband", "wife", "love", "heiress"]),
+    ("Action", ["action", "battle", "war", "martial", "fighter"]),
+    ("Fantasy", ["fantasy", "magic", "system", "cultivation", "transmigration", "reincarnation"]),
+    ("Sci-fi", ["sci-fi", "apocalypse", "interstellar", "space", "technology"]),
+    ("Mystery", ["mystery", "crime", "detective", "forensic", "thriller"]),
+    ("Historical", ["historical", "ancient", "emperor", "imperial", "marquis", "dynasty"]),
+    ("Game", ["game", "vrmmo", "player"]),
 ]
 
 
@@ -64,9 +66,9 @@ def priority_queue(spark, d):
 def daily_budget(spark, d):
     """Events as requests that each cost their value in whole units, against a daily budget."""
     requests = table(spark, d, "events").select(
-        "event_id", F.to_date("ts").alias("day"), "ts", F.ceil(F.abs("value")).cast("long").alias("cost")
+        "event_id", F.to_date("ts").alias("day"), "ts", F.coalesce(F.ceil(F.abs("value")).cast("long"), F.lit(0)).alias("cost")
     )
-    return schedule.reserved(requests, "day", F.date_trunc("hour", "ts"), ["ts", "event_id"], "cost", 2000).select("event_id", "day", "reserved", "accepted")
+    return schedule.reserved(requests, "day", ["ts", "event_id"], "event_id", "cost", 2000).withColumnRenamed("id", "event_id")
 
 
 def running_totals(spark, d):
@@ -162,7 +164,8 @@ def activity_feed(spark, d):
     last = table(spark, d, "chapters").where(F.col("ingested_at") <= F.lit(NOW).cast("timestamp")).groupBy("novel_id").agg(F.max("ingested_at").alias("observed_at"))
     items = table(spark, d, "novels").join(last, "novel_id").withColumn("age_s", F.lit(0))
     shown = activity.feed(items, "observed_at", "age_s", F.lit(NOW).cast("timestamp"))
-    return shown.select("novel_id", "observed_at", "effective_age_s", T.age_label(F.col("effective_age_s")).alias("label"))
+    labelled = shown.select("novel_id", "observed_at", "effective_age_s", T.age_label(F.col("effective_age_s")).alias("label"))
+    return labelled.orderBy("effective_age_s", "novel_id")
 
 
 def record_lifecycle(spark, d):
@@ -213,9 +216,10 @@ def screening_counts(spark, d):
 
 
 def genre_by_words(spark, d):
-    """Genre by the first rule whose words stand in title or synopsis."""
-    words = F.concat_ws(" ", "title", "synopsis")
-    return table(spark, d, "auto_freewebnovel").select("entry_id", T.first_rule(words, GENRES, "Fantasy").alias("genre"), T.shortened(F.col("synopsis"), 158).alias("summary"))
+    """Genre by the first rule one of whose words stands in title or synopsis, the names of all such rules, and a summary."""
+    tags = T.matching_rules(F.concat_ws(" ", "title", "synopsis"), GENRES, "Fantasy", 6)
+    rows = table(spark, d, "auto_freewebnovel").select("entry_id", tags.alias("tags"), T.shortened(F.col("synopsis"), 158).alias("summary"))
+    return rows.select("entry_id", F.col("tags")[0].alias("genre"), "tags", "summary")
 
 
 def tags_in_use(spark, d):
@@ -296,8 +300,9 @@ def escaped_titles(spark, d):
 
 
 def sitemap_files(spark, d):
-    """URLs of readable chapters per sitemap file of at most 2,000."""
-    rows = table(spark, d, "chapters").where(store.readable() & F.col("novel_id").isNotNull())
+    """URLs of readable chapters of visible novels per sitemap file of at most 2,000."""
+    hidden = table(spark, d, "novels").where("discovery_hidden").select("novel_id")
+    rows = table(spark, d, "chapters").where(store.readable() & F.col("novel_id").isNotNull()).select("novel_id", "chapter_number").join(hidden, "novel_id", "left_anti")
     urls = rows.select(F.concat(F.lit("/novel/"), "novel_id", F.lit("/"), F.col("chapter_number").cast("string")).alias("url"))
     return files.sitemap_pages(urls, "url", 2000).groupBy("sitemap").agg(F.count(F.lit(1)).alias("urls"))
 
@@ -360,11 +365,12 @@ SELECT novel_id, bytes, shard, CASE WHEN shard IS NULL THEN 'no_capacity' ELSE '
 
 def _genre_sql() -> str:
     t = "lower(concat_ws(' ', title, synopsis))"
-    cases = " ".join(f"WHEN {' OR '.join(f'contains({t}, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{name}'" for name, parts in GENRES)
-    return f"""SELECT entry_id, CASE {cases} ELSE 'Fantasy' END AS genre, substr(trim(regexp_replace(synopsis, '\\s+', ' ', 'g')), 1, 158) AS summary
-FROM auto_freewebnovel WHERE regexp_full_match(concat_ws(' ', title, synopsis), '[ -~]*')"""
+    cases = ", ".join(f"CASE WHEN {' OR '.join(f'contains({t}, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{name}' END" for name, parts in GENRES)
+    return f"""SELECT entry_id, tags[1] AS genre, tags, summary FROM (SELECT entry_id, CASE WHEN len(m) = 0 THEN ['Fantasy'] ELSE m[1:6] END AS tags, summary FROM
+ (SELECT entry_id, list_filter([{cases}], lambda x: x IS NOT NULL) AS m, substr(trim(regexp_replace(synopsis, '{_BLANK}+', ' ', 'g')), 1, 158) AS summary FROM auto_freewebnovel))"""
 
 
+_BLANK = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _PAGE_WORDS = """len(list_filter(string_split_regex(coalesce(novel_id, '') || ' ' || text, '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+'), lambda x: x <> ''))"""
 _WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+'), lambda x: x <> ''))"
 _LOW = "lower(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g')))"
@@ -383,8 +389,12 @@ f AS (SELECT id, rank, 0 AS queue, -1 AS turn FROM r WHERE rank IS NOT NULL ORDE
 n AS (SELECT id, rank, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS c FROM r ANTI JOIN f USING (id)),
 t AS (SELECT id, rank, 1 AS queue, ((p - 10) % c + c) % c AS turn FROM n), u AS (SELECT * FROM f UNION ALL SELECT * FROM t WHERE turn < 45)
 SELECT id, rank, queue, place FROM (SELECT *, CAST(row_number() OVER (ORDER BY queue, CASE WHEN queue = 0 THEN rank END, turn, id) AS INT) AS place FROM u) WHERE place <= 45""",
-    "daily_budget": """SELECT event_id, day, reserved, reserved <= 2000 AS accepted FROM (SELECT event_id, CAST(ts AS DATE) AS day,
-  CAST(sum(coalesce(CAST(ceil(abs(value)) AS BIGINT), 0)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS reserved FROM events)""",
+    "daily_budget": """WITH RECURSIVE q AS (SELECT event_id, CAST(ts AS DATE) AS day, coalesce(CAST(ceil(abs(value)) AS BIGINT), 0) AS cost,
+  row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts NULLS FIRST, event_id) AS i FROM events),
+walk AS (SELECT event_id, day, i, CASE WHEN cost <= 2000 THEN cost ELSE 0 END AS reserved, cost <= 2000 AS accepted FROM q WHERE i = 1
+  UNION ALL SELECT q.event_id, q.day, q.i, CASE WHEN walk.reserved + q.cost <= 2000 THEN walk.reserved + q.cost ELSE walk.reserved END, walk.reserved + q.cost <= 2000
+  FROM walk JOIN q ON q.day IS NOT DISTINCT FROM walk.day AND q.i = walk.i + 1)
+SELECT event_id, day, CAST(reserved AS BIGINT) AS reserved, accepted FROM walk""",
     "running_totals": """SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_cents FROM orders""",
     "catch_up_targets": f"""WITH {_STORED} SELECT novel_id, greatest(coalesce(numbers, 0), least(coalesce(chapter_count, 0), coalesce(numbers, 0) + 100)) AS target

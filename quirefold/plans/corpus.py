@@ -7,6 +7,7 @@ from quirefold.operators import bodies, store
 from quirefold.session import spread
 from quirefold.sources.tables import table
 
+_BLANK = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _BODY = "lower(trim(regexp_replace(array_to_string(from_json(paragraphs_json, '[\"VARCHAR\"]'), ' '), '[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g')))"
 _DIGESTS = f"""WITH digests AS (SELECT DISTINCT novel_id, chapter_number, substr(sha256(b), 1, 16) AS digest
   FROM (SELECT novel_id, chapter_number, {_BODY} AS b FROM chapters WHERE novel_id IS NOT NULL AND chapter_number IS NOT NULL) WHERE length(b) >= 300)"""
@@ -283,7 +284,7 @@ u AS (SELECT novel_id, p, coalesce(list_sum(list_transform(p, lambda x: length(x
 SELECT novel_id, count(*) FILTER (WHERE p IS NOT NULL AND len(blank) = 0 AND len(p) > 0) AS valid_rows,
   count(*) FILTER (WHERE p IS NOT NULL AND (len(p) < 3 OR chars < 250)) AS short_rows,
   CAST(sum(coalesce(len(p), 0)) AS BIGINT) AS paragraphs, CAST(sum(chars) AS BIGINT) AS chars FROM u GROUP BY novel_id""",
-    "title_labels": """SELECT row_id, chapter_number, label, TRY_CAST(regexp_extract(label, '(?i)^\\s*ch(?:apter|\\.)?\\s*([0-9]{1,9})(?:[^0-9]|$)', 1) AS INT) AS label_number
-FROM (SELECT *, regexp_replace(title, '(?i)^\\s*chapter\\s+[0-9.]+\\s*:\\s*(chapter\\s+[0-9]+)', '\\1') AS label FROM chapters
-  WHERE regexp_full_match(title, '[ -~]*')) WHERE label <> title""",
+    "title_labels": f"""SELECT row_id, chapter_number, label, TRY_CAST(regexp_extract(regexp_replace(label, '{_BLANK}+', ' ', 'g'), '(?i)^ *ch(?:apter|\\.)? *([0-9]{{1,9}})(?:[^0-9]|$)', 1) AS INT) AS label_number
+FROM (SELECT *, regexp_replace(regexp_replace(title, '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g'), '(?i)^{_BLANK}*chapter{_BLANK}+[0-9.]+{_BLANK}*:{_BLANK}*(chapter{_BLANK}+[0-9]+)', '\\1') AS label
+  FROM chapters) WHERE label <> title""",
 }
