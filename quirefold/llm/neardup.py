@@ -1,12 +1,15 @@
-"""Near-duplicate texts with small edits: MinHash prefixes of a fixed length with exact verification.
+"""Near-duplicate texts with small edits: a MinHash LSH forest with exact verification.
 
 1. Rows with the same normalised text form a class; only one representative per class goes on, so a
    group of copies costs one row however large it is.
-2. A representative gets one label of ``depth`` MinHash values per tree.  There are as many trees as a pair at the
-   threshold needs to be found with the chance ``recall``, 1 - (1 - threshold**depth)**trees.
-3. All representatives with the same label in a tree are candidates of each other, however many they are, so the
-   recall is the same at every size.  A crowded label is cut into blocks whose pairs are compared in separate tasks:
-   no label is dropped, capped, divided by further values or held in one task.
+2. A representative gets one label of MinHash values per tree of the forest.  Labels start ``longest`` values long and are
+   shortened, tree after tree, one value at a time, until a pair at the threshold shares the label of some tree with the
+   chance ``recall``, 1 - product(1 - threshold**length).  The lengths follow from these parameters only, so the recall
+   is the same at every size and in every node.
+3. The tries are sorted sequences of (label, id), cut into ranges of equal size wherever a range ends, also within a
+   node.  A walk along a range finds the rows that share a label.  A node that reaches beyond its range or beyond ``block``
+   rows leaves as blocks of ids.  Blocks get their sketches, and each pair of blocks is compared in a task of its own, so
+   that no task ever holds a node and no rows are made for the pairs of a crowded one but the likely ones.
 4. A candidate pair is held against one-bit MinHash sketches (the chance that a pair at the threshold is lost there
    is under 1e-4), then its distinct shingles are compared exactly.
 
@@ -23,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quirefold.llm import words
 from quirefold.session import cut, spread
@@ -88,8 +92,18 @@ def read_plain(values: pd.Series) -> list[str]:
     return [words.body([v]) if isinstance(v, str) else "" for v in values]
 
 
-def _described(read: Callable, shingle: int, least: int, trees: int, depth: int, seed: int) -> Callable:
+def _described(read: Callable, shingle: int, least: int, lengths: list[int], seed: int) -> Callable:
     n_sketch = SKETCH_WORDS * 64
+    ends = np.cumsum(lengths)
+
+    def labels(sig: np.ndarray) -> np.ndarray:
+        # 32 bits are enough within a tree: labels that meet by chance only add candidates.
+        out = np.empty((len(sig), len(lengths)), dtype=np.uint32)
+        for length in set(lengths):
+            own = np.flatnonzero(np.array(lengths) == length)
+            at = (ends[own] - length)[:, None] + np.arange(length)
+            out[:, own] = (_fold(sig[:, at]) >> _U(32)).astype(np.uint32)
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,10 +114,7 @@ def _described(read: Callable, shingle: int, least: int, trees: int, depth: int,
                 if not keep:
                     continue
                 kept = [texts[i] for i in keep]
-                sig, counts = signatures(kept, shingle, max(trees * depth, n_sketch), seed)
-                label = sig[:, : trees * depth].reshape(len(kept), trees, depth)
-                # 32 bits are enough within a tree: labels that meet by chance only add candidates.
-                node = (_fold(label) >> _U(32)).astype(np.uint32)
+                sig, counts = signatures(kept, shingle, max(int(ends[-1]), n_sketch), seed)
                 bits = np.packbits((sig[:, :n_sketch] & 1).astype(np.uint8), axis=1).view(np.int64)
                 digest = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in kept]
                 digest = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
@@ -113,7 +124,7 @@ def _described(read: Callable, shingle: int, least: int, trees: int, depth: int,
                         "digest": digest[:, 0],
                         "check": digest[:, 1],
                         "n": counts,
-                        "node": list(node.view(np.int32)),
+                        "node": [x.tobytes() for x in labels(sig)],
                         "sketch": list(bits),
                     }
                 )
@@ -125,7 +136,7 @@ def _explode_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        node = np.stack(batch["node"].to_numpy()).view(np.uint32).astype(np.int64)
+        node = np.frombuffer(b"".join(batch["node"]), dtype=np.uint32).reshape(len(batch), -1).astype(np.int64)
         node += np.arange(node.shape[1], dtype=np.int64) << 32
         yield pd.DataFrame({"node": node.ravel(), "id": np.repeat(batch["id"].to_numpy(), node.shape[1])})
 
@@ -135,32 +146,33 @@ def _pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return members[i], members[j]
 
 
-def _walk(small: int, block: int) -> Callable:
-    """Rows sorted by node come in; pairs of nodes and blocks of crowded ones go out.
+def _walk(block: int, small: int = 6) -> Callable:
+    """Rows sorted by node and id come in; pairs of nodes, and blocks of nodes that are crowded or reach beyond the range, go out.
 
     Only one batch and one block of one node are held at a time.  Nodes of up to ``small`` rows are worked on together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"path": None, "number": 0, "block": []}
+        state: dict = {"path": None, "open": True, "block": []}
         pairs: list = []
         blocks: list = []
 
-        def close() -> None:
-            if state["number"]:
-                blocks.append((state["path"], state["number"], state["block"]))
+        def close(edge: bool = False) -> None:
+            if (edge or state["open"]) and state["block"]:
+                blocks.append((state["path"], state["block"]))
             elif len(state["block"]) > 1:
                 pairs.append(_pairs_of(np.array(state["block"], dtype=np.int64)))
-            state.update(block=[], number=0)
+            state.update(block=[])
 
         def add(path: int, ids: list[int]) -> None:
             if path != state["path"]:
+                first = state["path"] is None
                 close()
-                state["path"] = path
+                state.update(path=path, open=first)
             for own in ids:
                 if len(state["block"]) == block:
-                    blocks.append((path, state["number"], state["block"]))
-                    state.update(block=[], number=state["number"] + 1)
+                    blocks.append((path, state["block"]))
+                    state.update(block=[], open=True)
                 state["block"].append(own)
 
         def flush() -> Iterator[pd.DataFrame]:
@@ -170,10 +182,10 @@ def _walk(small: int, block: int) -> Callable:
                 lo, hi = np.minimum(a, b), np.maximum(a, b)
                 for k in range(0, len(lo), 100_000):
                     part = {"a": lo[k : k + 100_000], "b": hi[k : k + 100_000]}
-                    yield pd.DataFrame(part | {"node": 0, "block": 0, "members": None})
+                    yield pd.DataFrame(part | {"node": 0, "members": None})
             if blocks:
-                node, number, members = zip(*blocks)
-                yield pd.DataFrame({"a": 0, "b": 0, "node": node, "block": number, "members": members})
+                node, members = zip(*blocks)
+                yield pd.DataFrame({"a": 0, "b": 0, "node": node, "members": members})
                 blocks.clear()
 
         for batch in batches:
@@ -194,18 +206,56 @@ def _walk(small: int, block: int) -> Callable:
                 add(int(node[lows[k]]), ids[lows[k] : highs[k]].tolist())
             if sum(len(p[0]) for p in pairs) > 200_000 or len(blocks) > 200:
                 yield from flush()
-        close()
+        close(edge=True)
         yield from flush()
 
     return run
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for x, y, same in zip(batch["x"], batch["y"], batch["same"]):
-            x, y = np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)
-            a, b = _pairs_of(x) if same else (np.repeat(x, len(y)), np.tile(y, len(x)))
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _block_pairs(sketch_least: float) -> Callable:
+    """Likely pairs between two blocks, (n, sketch) of whose rows come along; in stretches that fit the processor's cache."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x, y, sx, sy, same in zip(batch["x"], batch["y"], batch["sx"], batch["sy"], batch["same"]):
+                x, y = np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)
+                sx, sy = np.asarray(sx, dtype=np.int64).view(_U).reshape(len(x), -1), np.asarray(sy, dtype=np.int64).view(_U).reshape(len(y), -1)
+                for lo in range(0, len(x), 128):
+                    apart = np.zeros((len(x[lo : lo + 128]), len(y)), dtype=np.uint16)
+                    for k in range(SKETCH_WORDS):
+                        apart += np.bitwise_count(sx[lo : lo + 128, k, None] ^ sy[None, :, k])
+                    i, j = np.nonzero(apart <= (1 - sketch_least) * 64 * SKETCH_WORDS)
+                    i += lo
+                    kept = (x[i] < y[j]) if same else (x[i] != y[j])
+                    a, b = x[i[kept]], y[j[kept]]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def crowded_pairs(blocks: DataFrame, sketches: DataFrame, sketch_least: float) -> DataFrame:
+    """(a, b), a < b: likely pairs of the nodes that left the walk as blocks (node, members); pairs may come several times.
+
+    Pairs of block numbers are unfolded and spread before any ids are fetched.  Nodes with a single block of one row have no pair.
+    """
+    # Within a node blocks hold rising ids, so the first id names a block.
+    named = blocks.withColumn("first", F.col("members")[0])
+    order = W.partitionBy("node").orderBy("first")
+    numbers = named.select("node", "first", F.size("members").alias("n")).withColumn("i", F.row_number().over(order).cast("int"))
+    counts = numbers.groupBy("node").agg(F.max("i").alias("blocks"), F.sum("n").alias("rows")).where("rows > 1")
+    numbers = numbers.join(counts, "node").select("node", "first", "i", "blocks")
+    rows = named.join(numbers, ["node", "first"]).select("node", "i", F.explode("members").alias("id")).join(sketches.where("n > 0"), "id")
+    held = rows.groupBy("node", "i").agg(F.collect_list(F.struct("id", "sketch")).alias("all"))
+    held = held.select("node", "i", F.col("all.id").alias("ids"), F.flatten("all.sketch").alias("s"))
+    pairs = numbers.select("node", "i", F.explode(F.sequence("i", "blocks")).alias("j"))
+    x = held.select("node", "i", F.col("ids").alias("x"), F.col("s").alias("sx"))
+    y = held.select("node", F.col("i").alias("j"), F.col("ids").alias("y"), F.col("s").alias("sy"))
+    return (
+        pairs.join(x, ["node", "i"])
+        .join(y, ["node", "j"])
+        .select("x", "y", "sx", "sy", F.expr("i = j").alias("same"))
+        .mapInPandas(_block_pairs(sketch_least), "a long, b long")
+    )
 
 
 def _likely(sketch_least: float) -> Callable:
@@ -248,9 +298,16 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
-def tree_count(threshold: float, depth: int, recall: float) -> int:
-    """The fewest trees in which a pair at the threshold shares a label with the chance ``recall``."""
-    return 1 if threshold >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-(threshold**depth)))
+def label_lengths(threshold: float, trees: int, longest: int, recall: float) -> list[int]:
+    """The values that the labels of each tree keep: shortened one by one until a pair at the threshold is found with the chance ``recall``."""
+    lengths = [longest] * trees
+
+    def missed() -> float:
+        return math.prod(1 - threshold**x for x in lengths)
+
+    while missed() > 1 - recall and max(lengths) > 1:
+        lengths[lengths.index(max(lengths))] -= 1
+    return lengths
 
 
 def forest_pairs(
@@ -261,10 +318,10 @@ def forest_pairs(
     threshold: float = 0.8,
     shingle: int = 5,
     least: int = 1,
-    depth: int = 4,
+    trees: int = 108,
+    longest: int = 8,
     recall: float = 0.999,
-    small: int = 6,
-    block: int = 512,
+    block: int = 1024,
     seed: int = 20,
     broadcast_ids: int = 500_000,
 ) -> tuple[DataFrame, DataFrame]:
@@ -276,12 +333,13 @@ def forest_pairs(
     each found with a chance of at least ``recall`` whatever other rows there are.
     Id sets are broadcast up to ``broadcast_ids`` ids (8 bytes each) and joined by shuffle beyond.
     """
-    trees = tree_count(threshold, depth, recall)
+    lengths = label_lengths(threshold, trees, longest, recall)
+    sketch_least = 0.5 + threshold / 2 - 0.12
     source = df.select(F.col(identity).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     found = cut(
         spread(source).mapInPandas(
-            _described(read, shingle, least, trees, depth, seed),
-            "id long, digest long, check long, n long, node array<int>, sketch array<long>",
+            _described(read, shingle, least, lengths, seed),
+            "id long, digest long, check long, n long, node binary, sketch array<long>",
         )
     )
     sized = found.groupBy("digest", "check").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("class_size"))
@@ -295,27 +353,17 @@ def forest_pairs(
     first = only(found, others, "left_anti", n_others)
     nodes = first.where("n > 0").select("node", "id").mapInPandas(_explode_nodes, "node long, id long")
     walked = cut(
-        nodes.repartition("node")
-        .sortWithinPartitions("node")
-        .mapInPandas(_walk(small, block), "a long, b long, node long, block int, members array<long>")
-    )
-    blocks = walked.where("members IS NOT NULL").select("node", "block", "members")
-    x = blocks.select("node", F.col("block").alias("i"), F.col("members").alias("x"))
-    y = blocks.select("node", F.col("block").alias("j"), F.col("members").alias("y"))
-    crowded = (
-        x.join(y, "node")
-        .where("i <= j")
-        .select("x", "y", F.expr("i = j").alias("same"))
-        .repartition(F.xxhash64("x", "y"))
-        .mapInPandas(_block_pairs, "a long, b long")
+        nodes.repartitionByRange("node", "id").sortWithinPartitions("node", "id").mapInPandas(_walk(block), "a long, b long, node long, members array<long>")
     )
-    pairs = walked.where("members IS NULL").select("a", "b").unionByName(crowded).distinct()
     sketches = found.select("id", "n", "sketch")
-    likely = cut(
+    crowded = crowded_pairs(walked.where("members IS NOT NULL").select("node", "members"), sketches, sketch_least)
+    pairs = walked.where("members IS NULL").select("a", "b").distinct()
+    sparse = (
         pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .mapInPandas(_likely(0.5 + threshold / 2 - 0.12), "a long, b long")
+        .mapInPandas(_likely(sketch_least), "a long, b long")
     )
+    likely = cut(sparse.unionByName(crowded).distinct())
     wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = only(source, wanted, "left_semi", wanted.count()).mapInPandas(_shingle_sets(read, shingle), "id long, set array<long>")
     links = (

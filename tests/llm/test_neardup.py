@@ -73,7 +73,7 @@ def test_pairs_against_brute_force(spark):
 def test_crowded_nodes_lose_nothing(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join([*base, f"only{k}", f"also{k}"]), "", "") for k in range(60)]
-    got = pairs(spark, rows, threshold=0.8, small=3, block=7)
+    got = pairs(spark, rows, threshold=0.8, block=7)
     assert len(got) == 60 * 59 // 2
 
 
@@ -110,3 +110,22 @@ def test_recall_is_the_same_in_crowded_families(spark):
     assert len(got) >= 0.99 * 40 * 39 / 2
     few = pairs(spark, [(k, t, "", "") for k, t in enumerate(texts[:4])], threshold=0.5, shingle=3)
     assert set(few) == {p for p in got if p[1] < 4}
+
+
+def test_crowded_node_of_a_thousand_at_the_threshold(spark):
+    """Over 1,000 texts of similarity 0.50 to 0.55 to each other, so each shared label is a crowded node; several blocks, many ranges."""
+    core = " ".join(f"w{i}" for i in range(64))
+    texts = [core + " " + " ".join(f"own{k}x{i}" for i in range(26)) for k in range(1050)]
+    one, two = shingles(texts[0], 3), shingles(texts[1], 3)
+    assert 0.5 <= jaccard(one, two) < 0.55
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, body string")
+    members, links = N.forest_pairs(df, "row_id", "body", threshold=0.5, shingle=3, block=256)
+    assert members.count() == 1050
+    assert links.count() >= 0.99 * 1050 * 1049 / 2
+
+
+def test_labels_are_shortened_to_the_recall():
+    assert N.label_lengths(0.8, 108, 8, 0.999) == [8] * 108
+    lengths = N.label_lengths(0.5, 108, 8, 0.999)
+    assert np.prod([1 - 0.5**x for x in lengths]) <= 0.001 and min(lengths) >= 4
+    assert N.label_lengths(1.0, 2, 8, 0.999) == [8, 8]
