@@ -6,10 +6,12 @@
    shortened, tree after tree, one value at a time, until a pair at the threshold shares the label of some tree with the
    chance ``recall``, 1 - product(1 - threshold**length).  The lengths follow from these parameters only, so the recall
    is the same at every size and in every node.
-3. The tries are sorted sequences of (label, id), cut into ranges of equal size wherever a range ends, also within a
-   node.  A walk along a range finds the rows that share a label.  A node that reaches beyond its range or beyond ``block``
-   rows leaves as blocks of ids.  Blocks get their sketches, and each pair of blocks is compared in a task of its own, so
-   that no task ever holds a node and no rows are made for the pairs of a crowded one but the likely ones.
+3. The tries are sorted sequences of (tree, label, id).  Each batch of rows is sorted by itself and sent to ranges of the
+   labels in packed form, about half the bytes of plain rows; a range puts its sorted stretches together.  A label that
+   ``crowd`` rows of one batch share does not travel to its range: these rows leave at once as a block of ids, and the
+   range is told, so that a label of a third of all rows fills no range.  Labels with a block anywhere, or with more than
+   ``crowd`` rows, are crowded nodes: all their rows form blocks, blocks get their sketches, and each pair of blocks is
+   compared by itself.  No task holds a crowded node, and of its pairs only likely ones become rows.
 4. A candidate pair is held against one-bit MinHash sketches (the chance that a pair at the threshold is lost there
    is under 1e-4), then its distinct shingles are compared exactly.
 
@@ -20,6 +22,7 @@ Repeated rows are pairs like any other; ties do not matter because every pair is
 import hashlib
 import json
 import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -132,82 +135,108 @@ def _described(read: Callable, shingle: int, least: int, lengths: list[int], see
     return run
 
 
-def _explode_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        node = np.frombuffer(b"".join(batch["node"]), dtype=np.uint32).reshape(len(batch), -1).astype(np.int64)
-        node += np.arange(node.shape[1], dtype=np.int64) << 32
-        yield pd.DataFrame({"node": node.ravel(), "id": np.repeat(batch["id"].to_numpy(), node.shape[1])})
+def _narrow(x: np.ndarray) -> tuple[int, bytes]:
+    """Non-negative values in as few bytes each as the largest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return width, x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.triu_indices(len(members), 1)
-    return members[i], members[j]
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(_U)
 
 
-def _walk(block: int, small: int = 6) -> Callable:
-    """Rows sorted by node and id come in; pairs of nodes, and blocks of nodes that are crowded or reach beyond the range, go out.
+def pack_entries(node: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rising nodes and their ids as differences."""
+    base = int(ids.min())
+    wn, steps = _narrow(np.diff(node, prepend=node[:1]))
+    wi, offsets = _narrow(ids.view(_U) - np.int64(base).view(_U))
+    return struct.pack("<qqIBB", int(node[0]), base, len(node), wn, wi) + steps + offsets
 
-    Only one batch and one block of one node are held at a time.  Nodes of up to ``small`` rows are worked on together.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"path": None, "open": True, "block": []}
-        pairs: list = []
-        blocks: list = []
-
-        def close(edge: bool = False) -> None:
-            if (edge or state["open"]) and state["block"]:
-                blocks.append((state["path"], state["block"]))
-            elif len(state["block"]) > 1:
-                pairs.append(_pairs_of(np.array(state["block"], dtype=np.int64)))
-            state.update(block=[])
-
-        def add(path: int, ids: list[int]) -> None:
-            if path != state["path"]:
-                first = state["path"] is None
-                close()
-                state.update(path=path, open=first)
-            for own in ids:
-                if len(state["block"]) == block:
-                    blocks.append((path, state["block"]))
-                    state.update(block=[], open=True)
-                state["block"].append(own)
-
-        def flush() -> Iterator[pd.DataFrame]:
-            if pairs:
-                a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                pairs.clear()
-                lo, hi = np.minimum(a, b), np.maximum(a, b)
-                for k in range(0, len(lo), 100_000):
-                    part = {"a": lo[k : k + 100_000], "b": hi[k : k + 100_000]}
-                    yield pd.DataFrame(part | {"node": 0, "members": None})
-            if blocks:
-                node, members = zip(*blocks)
-                yield pd.DataFrame({"a": 0, "b": 0, "node": node, "members": members})
-                blocks.clear()
+def unpack_entries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, base, n, wn, wi = struct.unpack_from("<qqIBB", raw)
+    at = struct.calcsize("<qqIBB")
+    node = np.cumsum(_wide(raw[at : at + n * wn], wn)).view(np.int64) + first
+    return node, (_wide(raw[at + n * wn :], wi) + np.int64(base).view(_U)).view(np.int64)
 
+
+def _routed(trees: int, ranges: int, crowd: int) -> Callable:
+    """(range, entries, node, members): packed entries of a range, or a block of a crowded node and the range that is told of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            node, ids = batch["node"].to_numpy().astype(np.int64), batch["id"].to_numpy().astype(np.int64)
-            cuts = np.flatnonzero(np.diff(node)) + 1
-            lows, highs = np.append(0, cuts), np.append(cuts, len(node))
-            sizes = highs - lows
-            inner = np.ones(len(sizes), dtype=bool)
-            inner[[0, -1]] = False  # these may go on in the batches before and after
-            for size in range(2, small + 1):
-                at = lows[inner & (sizes == size)]
-                if len(at):
-                    i, j = np.triu_indices(size, 1)
-                    pairs.append((ids[at[:, None] + i].ravel(), ids[at[:, None] + j].ravel()))
-            for k in np.flatnonzero(~inner | (sizes > small)):
-                add(int(node[lows[k]]), ids[lows[k] : highs[k]].tolist())
-            if sum(len(p[0]) for p in pairs) > 200_000 or len(blocks) > 200:
-                yield from flush()
-        close(edge=True)
-        yield from flush()
+            label = np.frombuffer(b"".join(batch["node"]), dtype=np.uint32).reshape(len(batch), trees)
+            node = (label.astype(np.int64) + (np.arange(trees, dtype=np.int64) << 32)).ravel()
+            ids = np.repeat(batch["id"].to_numpy().astype(np.int64), trees)
+            order = np.lexsort((ids, node))
+            node, ids = node[order], ids[order]
+            lows = np.flatnonzero(np.diff(node, prepend=-1))
+            sizes = np.diff(lows, append=len(node))
+            out: dict[str, list] = {"range": [], "entries": [], "node": [], "members": []}
+
+            def add(*row: object) -> None:
+                for name, value in zip(out, row):
+                    out[name].append(value)
+
+            space = trees << 32
+            for k in np.flatnonzero(sizes >= crowd):
+                own = int(node[lows[k]])
+                add(own * ranges // space, None, own, ids[lows[k] : lows[k] + sizes[k]])
+            light = np.repeat(sizes < crowd, sizes)
+            node, ids = node[light], ids[light]
+            to = node * ranges // space
+            for lo, hi in zip(cuts := np.flatnonzero(np.diff(to, prepend=-1)), np.append(cuts[1:], len(to))):
+                add(int(to[lo]), pack_entries(node[lo:hi], ids[lo:hi]), None, None)
+            yield pd.DataFrame({"range": out["range"], "entries": out["entries"], "node": pd.array(out["node"], dtype="Int64"), "members": out["members"]})
+
+    return run
+
+
+def _pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.triu_indices(len(members), 1)
+    return members[i], members[j]
+
+
+def _walk(crowd: int, block: int) -> Callable:
+    """Rows sorted by range come in; pairs of ids that share a label go out, and blocks of crowded nodes."""
+
+    def of_range(parts: list[tuple[np.ndarray, np.ndarray]], crowded: list[int]) -> Iterator[pd.DataFrame]:
+        if not parts:
+            return
+        node, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.lexsort((ids, node))
+        node, ids = node[order], ids[order]
+        lows = np.flatnonzero(np.diff(node, prepend=-1))
+        sizes = np.diff(lows, append=len(node))
+        many = (sizes > crowd) | np.isin(node[lows], np.array(crowded, dtype=np.int64))
+        for size in range(2, crowd + 1):
+            at = lows[~many & (sizes == size)]
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 100_000 // len(i))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step, None]
+                yield pd.DataFrame({"a": ids[part + i].ravel(), "b": ids[part + j].ravel(), "node": 0, "members": None})
+        for k in np.flatnonzero(many):
+            own = ids[lows[k] : lows[k] + sizes[k]]
+            members = [own[lo : lo + block] for lo in range(0, len(own), block)]
+            yield pd.DataFrame({"a": 0, "b": 0, "node": int(node[lows[k]]), "members": members})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, crowded = None, [], []
+        for batch in batches:
+            for own, entries, node in zip(batch["range"].tolist(), batch["entries"], batch["node"]):
+                if own != at:
+                    yield from of_range(parts, crowded)
+                    at, parts, crowded = own, [], []
+                if entries is None:
+                    crowded.append(int(node))
+                else:
+                    parts.append(unpack_entries(entries))
+        yield from of_range(parts, crowded)
 
     return run
 
@@ -321,7 +350,9 @@ def forest_pairs(
     trees: int = 108,
     longest: int = 8,
     recall: float = 0.999,
+    crowd: int = 64,
     block: int = 1024,
+    entries: int = 1_000_000,
     seed: int = 20,
     broadcast_ids: int = 500_000,
 ) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +361,7 @@ def forest_pairs(
     ``identity`` is a unique BIGINT column, ``text`` the column that ``read`` turns into normalised texts; other columns
     are not touched, so their names cannot clash.  A class is named by its smallest id.  ``members`` has the rows whose
     text has at least ``least`` characters; ``links`` the pairs of classes with at least the similarity ``threshold``,
-    each found with a chance of at least ``recall`` whatever other rows there are.
+    each found with a chance of at least ``recall`` whatever other rows there are.  ``entries`` is how many labels a range gets.
     Id sets are broadcast up to ``broadcast_ids`` ids (8 bytes each) and joined by shuffle beyond.
     """
     lengths = label_lengths(threshold, trees, longest, recall)
@@ -349,18 +380,25 @@ def forest_pairs(
     def only(rows: DataFrame, ids: DataFrame, how: str, n: int) -> DataFrame:
         return rows.join(F.broadcast(ids) if n <= broadcast_ids else ids, "id", how)
 
-    n_others = others.count()
+    n_others, n = others.count(), members.count()
     first = only(found, others, "left_anti", n_others)
-    nodes = first.where("n > 0").select("node", "id").mapInPandas(_explode_nodes, "node long, id long")
+    ranges = max(1, math.ceil((n - n_others) * len(lengths) / entries))
+    routed = first.where("n > 0").select("node", "id").mapInPandas(_routed(len(lengths), ranges, crowd), "range int, entries binary, node long, members array<long>")
     walked = cut(
-        nodes.repartitionByRange("node", "id").sortWithinPartitions("node", "id").mapInPandas(_walk(block), "a long, b long, node long, members array<long>")
+        routed.select("range", "entries", "node")
+        .repartitionById(min(ranges, 100_000), "range")
+        .sortWithinPartitions("range")
+        .mapInPandas(_walk(crowd, block), "a long, b long, node long, members array<long>")
     )
     sketches = found.select("id", "n", "sketch")
-    crowded = crowded_pairs(walked.where("members IS NOT NULL").select("node", "members"), sketches, sketch_least)
-    pairs = walked.where("members IS NULL").select("a", "b").distinct()
+    blocks = walked.select("node", "members").unionByName(routed.select("node", "members")).where("members IS NOT NULL")
+    crowded = crowded_pairs(blocks, sketches, sketch_least)
+    pairs = cut(walked.where("members IS NULL").select("a", "b").distinct())
+    paired = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    known = only(sketches, paired, "left_semi", paired.count())
     sparse = (
-        pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        pairs.join(known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        .join(known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         .mapInPandas(_likely(sketch_least), "a long, b long")
     )
     likely = cut(sparse.unionByName(crowded).distinct())

@@ -73,7 +73,7 @@ def test_pairs_against_brute_force(spark):
 def test_crowded_nodes_lose_nothing(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join([*base, f"only{k}", f"also{k}"]), "", "") for k in range(60)]
-    got = pairs(spark, rows, threshold=0.8, block=7)
+    got = pairs(spark, rows, threshold=0.8, crowd=3, block=7)
     assert len(got) == 60 * 59 // 2
 
 
@@ -119,11 +119,20 @@ def test_crowded_node_of_a_thousand_at_the_threshold(spark):
     one, two = shingles(texts[0], 3), shingles(texts[1], 3)
     assert 0.5 <= jaccard(one, two) < 0.55
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, body string")
-    members, links = N.forest_pairs(df, "row_id", "body", threshold=0.5, shingle=3, block=256)
+    members, links = N.forest_pairs(df, "row_id", "body", threshold=0.5, shingle=3, block=256, entries=20_000)
     assert members.count() == 1050
     assert links.count() >= 0.99 * 1050 * 1049 / 2
 
 
+def test_entries_packed_and_unpacked():
+    draw = np.random.default_rng(3)
+    for top in (1, 200, 70_000, 2**40, 2**62):
+        node = np.sort(draw.integers(0, top, 50, dtype=np.int64))
+        ids = draw.integers(-top, top, 50, dtype=np.int64)
+        got = N.unpack_entries(N.pack_entries(node, ids))
+        assert (got[0] == node).all() and (got[1] == ids).all()
+
+
 def test_labels_are_shortened_to_the_recall():
     assert N.label_lengths(0.8, 108, 8, 0.999) == [8] * 108
     lengths = N.label_lengths(0.5, 108, 8, 0.999)
