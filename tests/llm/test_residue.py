@@ -29,7 +29,7 @@ CLEAN = [
 
 @pytest.mark.parametrize(("kind", "line"), FOUND)
 def test_evidence(kind, line):
-    assert kind in [k for k, _ in R.Judge().line(line)]
+    assert kind in R.Judge().line(line)
 
 
 @pytest.mark.parametrize("line", CLEAN)
@@ -55,8 +55,25 @@ def test_records(spark):
     assert R.residue(df.limit(0)).count() == 0
 
 
-def test_weak_evidence_that_recurs_is_boilerplate(spark):
-    df = rows(spark, [("a", json.dumps(["Loading", STORY]))] * 6 + [("b", json.dumps(["Loading", STORY]))])
-    assert [r.row_id for r in R.residue(df, recurrent=5).collect()] == [6]
-    strong = rows(spark, [("a", json.dumps(["404 Not Found"]))] * 6)
-    assert R.residue(strong, recurrent=5).count() == 6
+def test_recurrent_lines_are_boilerplate_whatever_their_evidence(spark):
+    for line in ("Loading...", "404 Not Found", "Please enable JavaScript to comment."):
+        framed = json.dumps([line, STORY])
+        df = rows(spark, [("a", framed)] * 6 + [("b", framed)] + [("a", json.dumps([line, STORY, "{{ body }}"]))])
+        assert [r.row_id for r in R.residue(df, recurrent=5).orderBy("row_id").collect()] == [6, 7]
+        assert R.residue(df, recurrent=8).count() == 8
+        # The same six lines among many records are no frame.
+        many = rows(spark, [("a", framed)] * 6 + [("a", json.dumps([STORY]))] * 40)
+        assert R.residue(many, recurrent=5).count() == 6
+        # Nothing is framed where the line is all there is.
+        alone = rows(spark, [("a", json.dumps([line]))] * 6 + [(None, json.dumps([line]))] * 6)
+        assert R.residue(alone, recurrent=5).count() == 12
+
+
+@pytest.mark.parametrize("line", ["Morbus tenebrarum vocet silvam, et fulgor undarum cadit.", "Quilum ventor marisque dolum satis crepit.", "Vastor nelum, priscum odorem fugit umbrarum."])
+def test_filler_of_words_in_no_list(line):
+    assert R.pseudo_latin(line.lower().replace(" et ", " atque "))
+
+
+@pytest.mark.parametrize("line", ["The museum curator and the emperor sit in the forum.", "Doctor Ventor, visit us!", "Marcus Brutus Maximus met Julius Octavius in the forum.", "Der Kaiser ist ein Kurator des Museums."])
+def test_prose_is_no_filler(line):
+    assert not R.pseudo_latin(line.lower())
