@@ -3,7 +3,10 @@
 States are texts.  From a state lead operations: take the characters as bytes of one encoding and read them in another,
 over the stretches where that is possible, or read numeric references.  Every state has a cost that tells how implausible
 its characters are, alone and beside each other; the search always expands the cheapest state not yet visited
-(visited states are kept as hashes) and stops after ``most_states`` states or when nothing is left.
+(visited states are kept as hashes) and stops at a state that nothing asks to read otherwise, or when nothing is left.
+States dearer by ``slack`` than the one they come from are not followed; there is no limit on their number or depth.
+
+Costs add up over the parts between spaces, so they are kept by part: the words of a language cost one walk each.
 
 A value is reported when the cheapest text costs clearly less than the value itself (after its numeric references
 are read), or when it holds characters that only a wrong decoding leaves: U+FFFD and C1 controls.  ``restored`` is null when
@@ -14,6 +17,7 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,6 +67,7 @@ _RUN = re.compile(r"[^\x00-\x7f�]+")
 _RUN_AND_ONE = re.compile(r"[^\x00-\x7f�]+[\x40-\x7e]?")
 _MULTI_BYTE = ("gb18030", "cp932", "big5", "euc_kr", "euc_jp")
 _state: dict = {}
+_more: dict = {}
 
 
 def _encodings() -> dict[str, tuple[dict[str, int], re.Pattern]]:
@@ -110,7 +115,26 @@ def _as_utf8(text: str, byte_of: dict[str, int], pattern: re.Pattern) -> str:
     return pattern.sub(read, text)
 
 
+def _tables() -> dict[tuple[str, str], dict[int, str]]:
+    """For each pair of single-byte encodings, the characters of one and what their bytes are in the other."""
+    if "tables" not in _more:
+        made: dict[tuple[str, str], dict[int, str]] = {}
+        for a, b in REREAD:
+            if a in _MULTI_BYTE or b in _MULTI_BYTE or b == "utf_8":
+                continue
+            made[a, b] = {}
+            for char, byte in _encodings()[a][0].items():
+                try:
+                    made[a, b][ord(char)] = bytes([byte]).decode(b)
+                except UnicodeDecodeError:
+                    continue
+        _more["tables"] = made
+    return _more["tables"]
+
+
 def _reread(text: str, a: str, b: str) -> str:
+    if (a, b) in _tables():
+        return text.translate(_tables()[a, b])
     byte_of = _encodings()[a][0] if a not in _MULTI_BYTE else None
 
     def again(m: re.Match) -> str:
@@ -121,9 +145,8 @@ def _reread(text: str, a: str, b: str) -> str:
         except (UnicodeError, KeyError):
             return run
 
-    wide = a in _MULTI_BYTE or b in _MULTI_BYTE
-    out = (_RUN_AND_ONE if wide else _RUN).sub(again, text)
-    return out if out != text or not wide else _RUN.sub(again, text)
+    out = _RUN_AND_ONE.sub(again, text)
+    return out if out != text else _RUN.sub(again, text)
 
 
 def _c1_read(text: str) -> str:
@@ -213,15 +236,15 @@ def _script(c: str) -> str:
     return "east" if 0x2E80 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7FF or 0xF900 <= o <= 0xFFDC else "other"
 
 
-def weighed(text: str) -> tuple[float, float]:
-    """(cost, suspicion): how implausible the characters are, and the part that no correct text has."""
-    total, suspicion, before, last, last_script, turned = 0.0, 0.0, "", "", "", False
+def _weighed_part(text: str) -> tuple[float, float]:
+    """(cost, suspicion) of a part without spaces."""
+    total, suspicion, before, last, last_script, turned, accents = 0.0, 0.0, "", "", "", False, 0
     for c in text:
         if c < "\x80":
             kind = "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "" if c >= " " else "s"
             script, value = ("latin" if kind in ("l", "u") else ""), 0.0
             if before < "\x80":
-                before, last, last_script, turned = c, kind, script, False
+                before, last, last_script, turned, accents = c, kind, script, False, 0
                 continue
         else:
             known = _CHAR_COST.get(c)
@@ -233,6 +256,11 @@ def weighed(text: str) -> tuple[float, float]:
         odd = 0.0
         if value > 1.6:
             odd += value - 1.4
+        # Words of three and more letters of this range alone stand in no language.
+        accents = accents + 1 if "\xc0" <= c <= "\xff" else 0
+        if accents > 2:
+            total += 2.5
+            odd += 2.5
         if before:
             extra = 0.0
             turned = kind == "u" and (last == "l" or (turned and last == "u"))
@@ -250,6 +278,28 @@ def weighed(text: str) -> tuple[float, float]:
             odd += extra
         suspicion += odd
         before, last, last_script = c, kind, script
+    hanging = _HANGING.findall(text)
+    return total + 4.0 * len(hanging), suspicion + 4.0 * len(hanging)
+
+
+#: A word of lower case that ends in one accented letter of upper case.
+_HANGING = re.compile(r"(?<=[a-zà-öø-ÿ]{2})[À-ÖØ-Þ](?![^\W\d_])")
+
+
+@lru_cache(maxsize=100_000)
+def _judged_part(text: str) -> tuple[float, float, bool]:
+    """Cost, suspicion, and whether any stretch is UTF-8 in the bytes of an encoding."""
+    return *_weighed_part(text), any(_encodings()[n][1].search(text) for n in READ_AS)
+
+
+def weighed(text: str) -> tuple[float, float]:
+    """(cost, suspicion): how implausible the characters are, and the part that no correct text has."""
+    total, suspicion = 0.0, 0.0
+    for part in text.split(" "):
+        if not part.isascii():
+            x, y, _ = _judged_part(part)
+            total += x
+            suspicion += y
     return total, suspicion
 
 
@@ -260,22 +310,19 @@ def cost(text: str) -> float:
 
 def _settled(text: str, suspicion: float) -> bool:
     """Whether nothing about a text asks for another reading."""
-    return suspicion == 0 and not any(p.search(text) for _, p in (_encodings()[n] for n in READ_AS))
+    return suspicion == 0 and not any(_judged_part(part)[2] for part in text.split(" ") if not part.isascii())
 
 
-def cheapest(text: str, most_states: int = 25) -> tuple[str, float]:
+def cheapest(text: str, slack: float = 2.0) -> tuple[str, float]:
     """The text that the search reaches at the lowest cost, steps included, and that cost."""
     first, suspicion = weighed(text)
     best, lowest = text, first
-    queue = [(first, 0, text, 0.0, suspicion)]
-    visited, n = {hash(text)}, 0
-    while queue and n < most_states:
-        at, depth, state, paid, suspicion = heapq.heappop(queue)
-        n += 1
+    queue = [(first, text, 0.0, suspicion)]
+    visited = {hash(text)}
+    while queue:
+        at, state, paid, suspicion = heapq.heappop(queue)
         if _settled(state, suspicion):
             break
-        if depth >= 5:
-            continue
         done = False
         for step in (utf8_neighbours, other_neighbours):
             for out, price in step(state):
@@ -287,8 +334,8 @@ def cheapest(text: str, most_states: int = 25) -> tuple[str, float]:
                 done |= value < at and _settled(out, odd)
                 if value < lowest:
                     best, lowest = out, value
-                if value < at + 2:
-                    heapq.heappush(queue, (value, depth + 1, out, paid + price, odd))
+                if value < at + slack:
+                    heapq.heappush(queue, (value, out, paid + price, odd))
             if done:
                 break
     return best, lowest
