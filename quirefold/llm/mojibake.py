@@ -6,6 +6,10 @@ its characters are, alone and beside each other; the search always expands the c
 (visited states are kept as hashes) and stops at a state that nothing asks to read otherwise, or when nothing is left.
 States dearer by ``slack`` than the one they come from are not followed; there is no limit on their number or depth.
 
+Readings as UTF-8 shorten a text, so from one state there are finitely many.  Pairs of other encodings lead back and forth
+between ever new texts: they are followed only from states at most ``tail`` dearer than the cheapest text found.  Where that
+text holds next to nothing suspicious, dearer states are not followed at all.
+
 Costs add up over the parts between spaces, so they are kept by part: the words of a language cost one walk each.
 
 A value is reported when the cheapest text costs clearly less than the value itself (after its numeric references
@@ -133,8 +137,9 @@ def _tables() -> dict[tuple[str, str], dict[int, str]]:
 
 
 def _reread(text: str, a: str, b: str) -> str:
-    if (a, b) in _tables():
-        return text.translate(_tables()[a, b])
+    table = _tables().get((a, b))
+    if table is not None:  # a run is read as a whole or not at all
+        return _RUN.sub(lambda m: m[0].translate(table) if table.keys() >= set(map(ord, m[0])) else m[0], text)
     byte_of = _encodings()[a][0] if a not in _MULTI_BYTE else None
 
     def again(m: re.Match) -> str:
@@ -256,9 +261,9 @@ def _weighed_part(text: str) -> tuple[float, float]:
         odd = 0.0
         if value > 1.6:
             odd += value - 1.4
-        # Words of three and more letters of this range alone stand in no language.
-        accents = accents + 1 if "\xc0" <= c <= "\xff" else 0
-        if accents > 2:
+        # Words of three and more letters of this range alone stand in no language; one letter held long is no word.
+        accents = accents + (c != before) if "\xc0" <= c <= "\xff" else 0
+        if accents > 2 and c != before:
             total += 2.5
             odd += 2.5
         if before:
@@ -313,18 +318,19 @@ def _settled(text: str, suspicion: float) -> bool:
     return suspicion == 0 and not any(_judged_part(part)[2] for part in text.split(" ") if not part.isascii())
 
 
-def cheapest(text: str, slack: float = 2.0) -> tuple[str, float]:
+def cheapest(text: str, slack: float = 2.0, tail: float = 20.0) -> tuple[str, float]:
     """The text that the search reaches at the lowest cost, steps included, and that cost."""
     first, suspicion = weighed(text)
-    best, lowest = text, first
+    best, lowest, doubt = text, first, suspicion
     queue = [(first, text, 0.0, suspicion)]
     visited = {hash(text)}
     while queue:
         at, state, paid, suspicion = heapq.heappop(queue)
-        if _settled(state, suspicion):
+        far = at >= lowest + tail
+        if _settled(state, suspicion) or (far and doubt <= 0.15 * lowest):
             break
         done = False
-        for step in (utf8_neighbours, other_neighbours):
+        for step in (utf8_neighbours,) if far else (utf8_neighbours, other_neighbours):
             for out, price in step(state):
                 if hash(out) in visited:
                     continue
@@ -333,7 +339,7 @@ def cheapest(text: str, slack: float = 2.0) -> tuple[str, float]:
                 value += paid + price
                 done |= value < at and _settled(out, odd)
                 if value < lowest:
-                    best, lowest = out, value
+                    best, lowest, doubt = out, value, odd
                 if value < at + slack:
                     heapq.heappush(queue, (value, out, paid + price, odd))
             if done:
@@ -352,6 +358,8 @@ def judged(text: str, least_gain: float = 2.5) -> tuple[str | None, bool] | None
     read = numeric_references_read(text)
     if read.isascii():
         return None
+    if "�" in read:
+        return None, True
     before, suspicion = weighed(read)
     lost = bool(_LOST.search(read))
     if not lost and _settled(read, suspicion):
@@ -360,7 +368,7 @@ def judged(text: str, least_gain: float = 2.5) -> tuple[str | None, bool] | None
     gained = before - after >= least_gain
     if not gained and not lost:
         return None
-    if not gained or "�" in read or _LOST.search(best):
+    if not gained or _LOST.search(best):
         return None, True
     return best, False
 

@@ -44,3 +44,30 @@ def test_table(spark):
     got = M.garbled(df, "entry_id", ["title", "value"]).collect()
     assert sorted((r.entry_id or 0, r.field_name, r.restored, r.lost) for r in got) == [(0, "title", "Café", False), (1, "title", "Café", False), (1, "title", "Café", False)]
     assert M.garbled(df.limit(0), "entry_id", ["title"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("value", "expected"),
+    [
+        (wrong("霧の桥と镜の約束", "cp1252"), ("霧の桥と镜の約束", False)),  # kanji rare in Japanese: the text found is not beyond doubt
+        ("".join(f"&#{ord(c)};" if c > "\x7f" else c for c in wrong("Мельница и Дорога", "cp1252")), ("Мельница и Дорога", False)),
+        (wrong(wrong("Дорога, Зеркало и Башня", "cp1252"), "cp1252"), ("Дорога, Зеркало и Башня", False)),
+        (wrong("霧の桥と镜の約束", "cp437"), ("霧の桥と镜の約束", False)),
+        (wrong("霧の桥と镜の約束", "cp1252") + "�", (None, True)),
+    ],
+)
+def test_search_ends(monkeypatch, value, expected):
+    expanded, neighbours = [], M.utf8_neighbours
+
+    def counted(text):
+        expanded.append(text)
+        assert len(expanded) <= 1000, "the search goes on"
+        return neighbours(text)
+
+    monkeypatch.setattr(M, "utf8_neighbours", counted)
+    assert M.judged(value) == expected
+
+
+def test_run_read_as_a_whole():
+    assert M._reread("Âåëàð ÂåŒ", "cp1252", "cp1251") == "Велар ВеЊ"
+    assert M._reread("Âåëàð Âå霧", "cp1252", "cp1251") == "Велар Âå霧"
