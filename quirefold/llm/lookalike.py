@@ -6,7 +6,8 @@ A value is brought to plain form in two steps.
    their compatibility form, accents are composed with their letters.
 2. Script-aware repair: a token, that is a run of letters, which mixes Latin with another script is given its dominant
    script; the look-alikes of the other scripts are substituted if the result stands in the corpus vocabulary, the
-   single-script tokens of all texts.  Tokens of one script, and mixed ones without a known reading, are left alone.
+   single-script tokens of all texts.  Where it does not stand there, the reading in the next script counts, if known.
+   Tokens of one script, and mixed ones without a known reading, are left alone.
 
 Tabs, line ends, ordinary punctuation and emoji are left alone.  Null and unreadable values are not reported.
 Repeated rows are reported each; columns other than the named ones are ignored; texts are read whole.
@@ -16,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,17 +84,37 @@ def is_plain(text: str) -> bool:
     return folded(text) == text and not mixed_tokens(text)
 
 
+@cache
+def _look_alikes() -> dict[str, dict[str, str]]:
+    """For each script, what stands in it for a letter of another."""
+    to = {"LATIN": TO_LATIN}
+    for script, pairs in (("CYRILLIC", CYRILLIC_LATIN), ("GREEK", GREEK_LATIN), ("ARMENIAN", ARMENIAN_LATIN)):
+        own = {p[1]: p[0] for p in reversed(pairs.split())}
+        to[script] = own | {other: own[latin] for other, latin in TO_LATIN.items() if latin in own}
+    return to
+
+
+def _script(char: str) -> str:
+    return "LATIN" if _tools()["latin"].match(char) else unicodedata.name(char, "").split(" ")[0]
+
+
+def readings(token: str) -> list[str]:
+    """A mixed token in each of its scripts that has look-alikes for all letters of the others; the dominant script first, Latin before an equal."""
+    scripts = [_script(c) for c in unicodedata.normalize("NFC", token) if not unicodedata.combining(c)]
+    out = []
+    for script in sorted(set(scripts), key=lambda x: (-scripts.count(x), x != "LATIN", x)):
+        to = _look_alikes().get(script)
+        if to is None:
+            continue
+        plain = unicodedata.normalize("NFC", "".join(c if _script(c) == script else to.get(c, c) for c in token))
+        if all(_script(c) == script or unicodedata.combining(c) for c in plain):
+            out.append(plain)
+    return out
+
+
 def repaired(token: str) -> str:
-    """A mixed token with look-alikes of the scripts that are not dominant substituted; itself if there are none."""
-    tools = _tools()
-    letters = [c for c in token if not unicodedata.combining(c)]
-    latin = sum(1 for c in letters if tools["latin"].match(c))
-    if 2 * latin >= len(letters) or all(c in TO_LATIN or tools["latin"].match(c) for c in letters):
-        return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in token))
-    other = "CYRILLIC" if any("CYRILLIC" in unicodedata.name(c, "") for c in letters) else "GREEK"
-    pairs = CYRILLIC_LATIN if other == "CYRILLIC" else GREEK_LATIN
-    back = {p[1]: p[0] for p in reversed(pairs.split())}
-    return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in token))
+    """A mixed token in its dominant script, or the next that its letters allow; itself if there is none."""
+    return next(iter(readings(token)), token)
 
 
 def _strings(value: str | None, is_json: bool) -> list[str]:
@@ -147,6 +169,12 @@ def _vocabulary(fields: dict[str, bool]) -> Callable:
     return run
 
 
+def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(token, k, plain, plain.lower()) for token in batch["token"] for k, plain in enumerate(readings(token))]
+        yield pd.DataFrame(out, columns=["token", "rank", "plain", "word"])
+
+
 def _renewed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
@@ -180,18 +208,18 @@ def plain_values(df: DataFrame, identity: str, fields: dict[str, bool]) -> DataF
     # Three uses follow; the odd values are a small part of all texts.
     odd = cut(source.mapInPandas(_odd_values(fields, True), "row long, field_name string, strings array<string>, tokens array<string>"))
     words = source.mapInPandas(_vocabulary(fields), "word string").distinct()
-    repair = F.udf(repaired, "string", useArrow=False)
-    tokens = odd.select(F.explode("tokens").alias("token")).distinct().withColumn("plain", repair("token"))
-    known = tokens.join(words, F.lower("plain") == F.col("word"), "left_semi")
+    tokens = odd.select(F.explode("tokens").alias("token")).distinct().mapInPandas(_readings, "token string, rank int, plain string, word string")
+    known = tokens.join(words, "word", "left_semi").groupBy("token").agg(F.min_by("plain", "rank").alias("plain"))
     pairs = (
         odd.select("row", "field_name", F.explode("tokens").alias("token"))
         .join(known, "token")
-        .groupBy("row", "field_name")
+        .groupBy(F.col("row").alias("pairs_row"), F.col("field_name").alias("pairs_field"))
         .agg(F.collect_list(F.struct("token", "plain")).alias("pairs"))
     )
     return (
         odd.select("row", "field_name", "strings")
-        .join(pairs, ["row", "field_name"], "left")
+        .join(pairs, F.col("row").eqNullSafe(F.col("pairs_row")) & (F.col("field_name") == F.col("pairs_field")), "left")
+        .select("row", "field_name", "strings", "pairs")
         .mapInPandas(_renewed, "row long, field_name string, plain array<string>, unresolved long")
         .withColumnRenamed("row", identity)
     )

@@ -64,7 +64,8 @@ _CHAPTER_TEXTS = {"title": False, "paragraphs_json": True}
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.odd_values(table(spark, d, "chapters"), "row_id", _CHAPTER_TEXTS)
+    """The values that get another form, or keep a mixed-script token that has no known reading."""
+    return p6_plain(spark, d).select("row_id", "field_name")
 
 
 def p6_plain(spark: SparkSession, d: str) -> DataFrame:

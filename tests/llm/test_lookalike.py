@@ -42,3 +42,34 @@ def test_values(spark):
 
 def test_long_text():
     assert not L.is_plain("x" * 200_000 + "​") and L.is_plain("é" * 200_000)
+
+
+def test_readings():
+    assert L.readings("lаmp") == ["lamp"] and L.readings("Дорoга") == ["Дорога"]
+    assert L.readings("сoр") == ["сор", "cop"]  # Cyrillic dominates, Latin is possible
+    assert L.readings("cор") == ["сор", "cop"] and L.readings("cоp") == ["cop", "сор"]
+    assert L.readings("հayոց") == ["hayng"] and L.readings("բoզ") == ["բօզ"]  # no Armenian letter looks like y, no Latin one like բ
+    assert L.readings("qzжv") == [] and L.readings("אab") == [] and L.repaired("אab") == "אab"
+    assert L.readings("cafе́") == ["café"]  # the accent stands on a Cyrillic letter
+
+
+def test_vocabulary_decides(spark):
+    rows = [(1, "сoр", "[]"), (2, "a cop", "[]"), (None, "lаmp", '["the Lamp"]'), (4, "Дорoга", "[]"), (5, "Дорога", "[]")]
+    df = spark.createDataFrame(rows, "row_id long, title string, paragraphs_json string")
+    plain = {r.row_id: (list(r.plain), r.unresolved) for r in L.plain_values(df, "row_id", FIELDS).collect()}
+    # The dominant reading is not in the vocabulary, the other one is; a missing key takes nothing from a value.
+    assert plain == {1: (["cop"], 0), None: (["lamp"], 0), 4: (["Дорога"], 0)}
+    both = {r.row_id: list(r.plain) for r in L.plain_values(df.unionByName(df.sparkSession.createDataFrame([(6, "сор", None)], df.schema)), "row_id", FIELDS).collect()}
+    assert both[1] == ["сор"]
+
+
+def test_found_by_repair(spark, tmp_path):
+    from quirefold.llm import queries
+
+    rows = [(1, "lаmp", '["the lamp"]'), (2, "qzжv", None), (3, "fine", '["café", "ok"]'), (3, "fine", '["café", "ok"]'), (4, "Ждана", '["café"]'), (None, "no\xa0break", None)]
+    spark.createDataFrame(rows, "row_id long, title string, paragraphs_json string").write.parquet(str(tmp_path / "chapters.parquet"))
+    found = queries.p6_found(spark, str(tmp_path))
+    assert found.columns == ["row_id", "field_name"] and dict(found.dtypes)["row_id"] == "bigint"
+    assert sorted((r.row_id or 0, r.field_name) for r in found.collect()) == [(0, "title"), (1, "title"), (2, "title"), (3, "paragraphs_json"), (3, "paragraphs_json")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "pairs" in plan  # the readings are held against the vocabulary
